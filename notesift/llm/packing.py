@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from notesift.llm.common import stored
 
 #: Entries of a worker's cache of encoded units; it is cleared when full.
-CACHE = 250_000
+CACHE = 1_000_000
 #: A space before white space or at the end: there the text isn't cut at spaces.
 UNEVEN = re.compile(r" (?:\s|\Z)")
 
@@ -44,10 +44,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.units = Tokenizer.from_file(path), {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        added = {k for k, x in self.tokenizer.get_added_tokens_decoder().items() if x}
+        # a byte-level vocabulary spells each byte as one character
+        vocab = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for token, k in vocab.items():
+            self.width[k] = len(token.encode()) if k in added else len(token)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: list[str], gap: str) -> None:
+        """Encode units that may be joined by ``gap`` (one token or nothing), many at once, and cut by their bytes."""
+        for at in range(0, len(missing), 4096):
+            some = missing[at : at + 4096]
+            ids = self._encode([gap.join(some)])[0]
+            ends = np.cumsum(self.width[ids])
+            stops = np.cumsum([len(x.encode()) + len(gap) for x in some])
+            cuts = np.searchsorted(ends, stops - len(gap)) + 1
+            starts = np.concatenate([[0], np.searchsorted(ends, stops[:-1]) + 1])
+            raw = ids.tobytes()
+            self.units.update((x, raw[4 * i : 4 * j]) for x, i, j in zip(some, starts.tolist(), cuts.tolist(), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = []
@@ -59,8 +76,13 @@ class Encoder:
                 cut.append(([first] if first else []) + [" " + x for x in rest])
         if len(self.units) > CACHE:
             self.units.clear()
-        missing = list({x for units in cut for x in units if x not in self.units})
-        self.units.update(zip(missing, self._encode(missing), strict=True))
+        missing = {x for units in cut for x in units if x not in self.units}
+        joined = [x for x in missing if x[0] == " " and x[1:2].strip() and "<|" not in x]
+        first = [x for x in missing if x[0] != " " and x == x.strip() and "<|" not in x and len(x) < 1000]
+        self._learn(joined, "")
+        self._learn(first, "\n")
+        others = list(missing.difference(joined, first))
+        self.units.update((x, ids.tobytes()) for x, ids in zip(others, self._encode(others), strict=True))
         return [b"".join(map(self.units.__getitem__, units)) for units in cut]
 
 
