@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notesift.llm import packing, simhash
+from notesift.llm import packing, secret_scan, simhash
 from notesift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,9 @@ def tokenizer_path() -> str:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
     return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.digests(secret_scan.secrets(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id")
