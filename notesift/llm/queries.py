@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notesift.llm import main_text, packing, secret_scan, simhash
+from notesift.llm import main_text, packing, secret_scan, simhash, toxicity, training
 from notesift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = main_text.main_text(table(spark, sf_dir, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs, model, ["doc_id"])
+    return found.withColumn("held_out", training.held_out(F.col("doc_id")))
