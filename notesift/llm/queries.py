@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notesift.llm import main_text, packing, secret_scan, simhash, toxicity, training
+from notesift.llm import main_text, packing, quality, secret_scan, simhash, toxicity, training
 from notesift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learned(docs, table(spark, sf_dir, "labels"))
     found = toxicity.scored(docs, model, ["doc_id"])
     return found.withColumn("held_out", training.held_out(F.col("doc_id")))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learned(docs, table(spark, sf_dir, "labels"))
+    found = quality.scored(docs, model)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        training.held_out(F.col("id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
