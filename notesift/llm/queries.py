@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notesift.llm import fingerprints, line_dedup, main_text, packing, quality, secret_scan, simhash, toxicity, training
+from notesift.llm import decontamination, fingerprints, line_dedup, main_text, packing, quality, secret_scan, simhash, toxicity, training
 from notesift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", F.col("lines before").alias("n_lines"), F.col("lines removed").alias("n_removed"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("leaks"),
+        F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x.item))).alias("items"),
+        F.array_join(F.transform("leaks", lambda x: F.concat_ws(":", x.item.cast("string"), x.start.cast("string"), x.end.cast("string"))), ",").alias("spans"),
+    )
