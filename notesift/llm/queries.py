@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notesift.llm import decontamination, fingerprints, line_dedup, main_text, packing, quality, secret_scan, simhash, toxicity, training
+from notesift.llm import decontamination, fingerprints, line_dedup, lm_scoring, main_text, packing, quality, secret_scan, simhash, toxicity, training
 from notesift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x.item))).alias("items"),
         F.array_join(F.transform("leaks", lambda x: F.concat_ws(":", x.item.cast("string"), x.start.cast("string"), x.end.cast("string"))), ",").alias("spans"),
     )
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
