@@ -40,6 +40,14 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def connected(edges: DataFrame, label: str = "links") -> DataFrame:
     """Components of the undirected graph with the long columns ``a`` and ``b``.
 

@@ -21,17 +21,17 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notesift.llm.common import stored
+from notesift.llm.common import stored, unused
 
 #: Tokens in a window, in a run that counts, and literal ones that it needs.
 WINDOW, RUN, LITERAL = 8, 13, 4
@@ -205,26 +205,40 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield Items.of([(r.id, r.text) for r in part.collect()])
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``leaks`` (array of item, start, end in tokens); ``keep`` may not have that name."""
-    spark, kind = docs.sparkSession, pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-    source = docs.select(F.col(text_col).alias("searched text"), *keep).withColumn("leaks so far", F.array().cast("array<struct<item:long,start:long,end:long>>"))
-    schema = source.schema
+LEAKS = "array<struct<item:long,start:long,end:long>>"
+
+
+def searched(spark: SparkSession, items: Items) -> Callable[[Column], Column]:
+    """A function of a text column: the leaks of a block of items."""
+    shared = spark.sparkContext.broadcast(items)  # at most about BLOCK items
+    kind = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    @F.arrow_udf(LEAKS)
+    def search(texts: pa.Array) -> pa.Array:
+        with np.errstate(over="ignore"):
+            got = [leaks(shared.value, worker_templates(), x.as_py()) for x in texts]
+        return pa.array([[dict(zip(("item", "start", "end"), x, strict=True)) for x in row] for row in got], kind)
+
+    return search
+
+
+def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", text_col: str = "text") -> DataFrame:
+    """``docs`` and the array ``name`` (which no column may have) of item, start and end in tokens."""
+    out = docs.withColumn(name, F.array().cast(LEAKS))
     for k, items in enumerate(blocks(benchmark)):
-        if k:
-            source, _ = stored(source, "leaks")
-        shared = spark.sparkContext.broadcast(items)  # at most BLOCK items
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            templates = worker_templates()
-            with np.errstate(over="ignore"):
-                for batch in batches:
-                    got = []
-                    for text, before in zip(batch.column(0), batch.columns[-1], strict=True):
-                        new = leaks(shared.value, templates, text.as_py())
-                        got.append((before.as_py() or []) + [dict(zip(("item", "start", "end"), x, strict=True)) for x in new])
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, kind)], batch.schema.names)
-
-        source = source.mapInArrow(run, schema)
-    return source.drop("searched text").withColumnRenamed("leaks so far", "leaks")
+        if k:  # one block in memory at a time
+            out, _ = stored(out, "leaks")
+        found = searched(docs.sparkSession, items)(F.col(text_col))
+        out = out.withColumn(name, F.concat(name, found) if k else found)
+    return out
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``leaks``."""
+    return with_leaks(docs.select(*keep, F.col(text_col).alias("searched text")), benchmark, "leaks", "searched text").drop("searched text")
+
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that leak; its columns may have any names."""
+    name = unused("leaks", docs)
+    return with_leaks(docs, benchmark, name, text_col).where(F.size(name) == 0).drop(name)

@@ -21,10 +21,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notesift.llm.common import connected, stored
+from notesift.llm.common import connected, stored, unused
 
 SEED = 42
 #: Shingles hashed at once, so that memory is bounded for any length of text.
@@ -301,3 +301,28 @@ def near_duplicates(
 #: bits differ with probability acos(2 * 0.8 / 1.8) / pi = 0.1515: 78 of 512 on average.
 #: The radius adds most of a standard deviation (8), so that few such pairs are missed.
 WIDE = {"words": 5, "width": 8, "radius": 84}
+
+
+#: Rows of one number that are broadcast at most.
+SMALL = 1_000_000
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of the least id.
+
+    Rows with a null id stay. Of rows that share an id one stays, that with the
+    least text (the first for nulls), only if there are any is it looked for.
+    """
+    found, _ = stored(near_duplicates(docs, id_col, text_col, **how), "near-duplicates")
+    gone, _ = stored(found.where("id <> component").select("id").distinct(), "near-duplicates-gone")
+    gone = gone.withColumnRenamed("id", "gone id")
+    n = gone.count()
+    kept = docs.join(F.broadcast(gone) if n <= SMALL else gone, F.col(id_col).cast("long") == F.col("gone id"), "left_anti")
+    shared, _ = stored(found.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("shared id")), "shared-ids")
+    m = shared.count()
+    if not m:
+        return kept
+    side, here = F.broadcast(shared) if m <= SMALL else shared, F.col(id_col).cast("long") == F.col("shared id")
+    place = unused("place", docs)
+    once = kept.join(side, here, "left_semi").withColumn(place, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
+    return kept.join(side, here, "left_anti").unionByName(once.where(F.col(place) == 1).drop(place))

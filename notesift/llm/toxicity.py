@@ -16,14 +16,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notesift.llm.common import unused
 from notesift.llm.training import fitted, labelled_sample
 
 WORD = re.compile(r"\w+")
@@ -144,21 +145,27 @@ def learned(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, fold: in
     return fitted(labelled_sample(docs, labels, "toxic", max_rows, fold=fold), fit)
 
 
+def judged(spark: SparkSession, model: Model | None) -> Callable[[Column], Column]:
+    """A function of a text column: a struct of ``severity``, ``p_toxic`` and ``is_toxic`` (probability of one half or more)."""
+    shared = spark.sparkContext.broadcast(model)  # at most 4096 terms
+
+    @F.arrow_udf("struct<severity:double,p_toxic:double,is_toxic:boolean>")
+    def judge(texts: pa.Array) -> pa.Array:
+        got = [severity(shared.value, x.as_py()) for x in texts]
+        s, p = pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64())
+        return pa.StructArray.from_arrays([s, p, pa.array([x[1] >= 0.5 for x in got], pa.bool_())], ["severity", "p_toxic", "is_toxic"])
+
+    return judge
+
+
 def scored(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs``, then ``severity``, ``p_toxic`` and ``is_toxic`` (probability of one half or more).
-
-    ``keep`` may not have these three names.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 4096 terms
-    source = docs.select(F.col(text_col).alias("scored text"), *keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [severity(shared.value, x.as_py()) for x in batch.column(0)]
-            s, p = pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64())
-            toxic = pa.array([x[1] >= 0.5 for x in got], pa.bool_())
-            names = [*batch.schema.names[1:], "severity", "p_toxic", "is_toxic"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], s, p, toxic], names)
-
-    schema = source.drop("scored text").schema.add("severity", "double").add("p_toxic", "double").add("is_toxic", "boolean")
-    return source.mapInArrow(run, schema)
+    """The columns ``keep`` of ``docs``, then ``severity``, ``p_toxic`` and ``is_toxic``; ``keep`` may not have these names."""
+    judge = judged(docs.sparkSession, model)
+    return docs.select(*keep, judge(F.col(text_col)).alias("judged text")).select(*keep, "`judged text`.*")
+
+
+def rejected(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``docs`` without the toxic rows; its columns may have any names."""
+    name = unused("toxicity", docs)
+    judge = judged(docs.sparkSession, model)
+    return docs.withColumn(name, judge(F.col(text_col))).where(~F.col(name)["is_toxic"]).drop(name)
