@@ -31,7 +31,8 @@ from notesift.llm.common import discard, stored
 SPAN = 4096
 #: Rows of two numbers that are broadcast at most.
 SMALL = 1_000_000
-SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: White space of ASCII, and all of it; a single plain space needs no replacement.
+ASCII_SPACE, ANY_SPACE = r"\t\n\x0B\f\r\x1c-\x1f", r"\t\n\x0B\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _ranges(points: list[int]) -> str:
@@ -67,7 +68,8 @@ def unicode_tables() -> dict:
     depth = lambda c: len(norm("NFD", c))
     pairs.sort(key=lambda x: (depth(x[1]), x[1]))
     return {
-        "look": _ranges([ord(c) for c in {*marks, *seconds, *not_composed}]),
+        # none of them is below U+0300, so one comparison settles most characters
+        "look": r"[\x{300}-\x{10FFFF}&&" + _ranges([ord(c) for c in {*marks, *seconds, *not_composed}]) + "]",
         "marks": marks,
         "mark": _ranges([ord(c) for c in marks]),
         "rest": _ranges([ord(c) for c in marks]).replace("[", "[^", 1),
@@ -106,8 +108,9 @@ def canonical(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     plain = F.length(text) == F.octet_length(text)  # ASCII
     whole = F.when(text.rlike(unicode_tables()["look"]), composed(text)).otherwise(text)
-    folded = F.when(plain, F.lower(text)).otherwise(F.translate(F.lower(F.upper(whole)), "ς", "σ"))
-    return F.trim(F.regexp_replace(folded, SPACE, " "))
+    spaced = lambda t, kinds: F.regexp_replace(t, f"[ {kinds}]{{2,}}|[{kinds}]", " ")
+    folded = F.replace(F.lower(F.upper(whole)), F.lit("ς"), F.lit("σ"))
+    return F.trim(F.when(plain, spaced(F.lower(text), ASCII_SPACE)).otherwise(spaced(folded, ANY_SPACE)))
 
 
 def digest(text: Column) -> Column:
