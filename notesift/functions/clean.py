@@ -8,6 +8,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from notesift.functions import constants as C
 from notesift.functions import spans
@@ -17,7 +18,7 @@ U = "(?Ud)"
 STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfc(texts: pa.Array) -> pa.Array:
     return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in texts.to_pylist()], pa.string())
 
