@@ -110,18 +110,19 @@ def detect_sections(text: Column) -> Column:
     found = F.concat(*[spans.find(text, r"(?imuUd)^\s*(?:" + "|".join(p) + r")\s*:?\s*$", name, k) for k, (name, p) in enumerate(C.SECTIONS.items())])
     ordered = F.transform(F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("a"), s["ord"].alias("b"), s.alias("s")))), lambda k: k["s"])
 
-    def section(s: Column, k: Column) -> Column:
-        after = F.coalesce(F.get(F.transform(ordered, lambda x: x["start"]), k + 1), F.length(text))
+    def section(every: Column, s: Column, k: Column) -> Column:
+        after = F.coalesce(F.get(every, k + 1)["start"], F.length(text))
         body = strip(F.substring(text, s["end"] + 1, F.greatest(after - s["end"], F.lit(0))))
         return F.struct(s["label"].alias("name"), s["start"].alias("start"), after.alias("end"), body.alias("text"))
 
-    return F.transform(ordered, section)
+    return spans.bound(ordered, lambda every: F.transform(every, lambda s, k: section(every, s, k)))
 
 
 def section_map(sections: Column) -> Column:
     """Bodies by name; of equal names the last."""
-    names = F.array_distinct(F.transform(sections, lambda s: s["name"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(sections, lambda s: s["name"] == n), -1)["text"]))
+    names = lambda every: F.array_distinct(F.transform(every, lambda s: s["name"]))
+    last = lambda every: F.transform(names(every), lambda n: F.element_at(F.filter(every, lambda s: s["name"] == n), -1)["text"])
+    return spans.bound(sections, lambda every: F.map_from_arrays(names(every), last(every)))
 
 
 def line_kind(line: Column) -> Column:

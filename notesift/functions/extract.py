@@ -94,7 +94,8 @@ def deduplicated(entities: Column) -> Column:
     same = lambda a, b: (F.lower(a["text"]) == F.lower(b["text"])) & (a["label"] == b["label"]) & (a["start"] == b["start"]) & (a["end"] == b["end"])
     rank = lambda e, k: F.struct((e["source"] == "model").cast("int").alias("m"), k.alias("k"))
     keyed = F.transform(entities, lambda e, k: F.struct(rank(e, k).alias("r"), e.alias("e")))
-    return F.transform(F.filter(keyed, lambda x: ~F.exists(keyed, lambda y: same(x["e"], y["e"]) & (y["r"] > x["r"]))), lambda x: x["e"])
+    best = lambda every: F.filter(every, lambda x: ~F.exists(every, lambda y: same(x["e"], y["e"]) & (y["r"] > x["r"])))
+    return F.transform(spans.bound(keyed, best), lambda x: x["e"])
 
 
 def route(confidence: Column) -> Column:
@@ -115,12 +116,13 @@ def context(text: Column, start: Column, end: Column) -> Column:
 def merged(text: Column, model: Column, rules: Column, sections: Column) -> Column:
     """Entities of both kinds, deduplicated, without overlaps, with negation, section, context and status."""
     kept = spans.most_confident(deduplicated(F.concat(model, rules)), ENTITY)
-    return F.transform(
-        kept,
-        lambda e: F.struct(
+
+    def finished(secs: Column, e: Column) -> Column:
+        return F.struct(
             e["text"].alias("text"), e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end"),
             F.round(e["confidence"], 4).alias("confidence"), negation(text, e["start"], e["end"])["negated"].alias("negated"),
-            section_at(sections, e["start"]).alias("section"), e["source"].alias("source"), context(text, e["start"], e["end"]).alias("context_snippet"),
+            section_at(secs, e["start"]).alias("section"), e["source"].alias("source"), context(text, e["start"], e["end"]).alias("context_snippet"),
             route(e["confidence"]).alias("status"),
-        ),
-    )
+        )
+
+    return spans.bound(sections, lambda secs: F.transform(kept, lambda e: finished(secs, e)))

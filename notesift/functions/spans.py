@@ -15,6 +15,11 @@ SPAN = "struct<text:string,label:string,start:int,end:int,ord:int>"
 MARK = "\x01"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` worked out once, also where ``f`` uses it inside the function of another array."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def empty() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from notesift.functions import constants as C
-from notesift.functions.extract import scored_terms  # noqa: F401  (the stand-in that the model rows below follow)
 from notesift.operators import generator
 from notesift.plans.carrier import SQL
 
