@@ -38,7 +38,7 @@ WINDOW, RUN, LITERAL = 8, 13, 4
 #: Items that are held in memory at once.
 BLOCK = 5_000
 #: Tokens of a worker's cache; it is cleared when full.
-CACHE = 500_000
+CACHE = 150_000
 UNITS = frozenset(
     "mm cm m km meter meters metre metres kilometer kilometers kilometre kilometres inch inches ft foot feet yard yards mile miles "
     "mg g kg gram grams kilogram kilograms oz ounce ounces lb lbs pound pounds ton tons ml l liter liters litre litres gallon gallons cup cups "

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from notesift.llm.common import stored
 
 #: Entries of a worker's cache of encoded units; it is cleared when full.
-CACHE = 1_000_000
+CACHE = 700_000
 #: A space before white space or at the end: there the text isn't cut at spaces.
 UNEVEN = re.compile(r" (?:\s|\Z)")
 
