@@ -2,7 +2,8 @@
 
 The supplied texts hold hardly anything that the operators look for, so every
 note gets headers, protected information, dosages, negations and damage by
-arithmetic on its id, besides a slice of its own text.
+arithmetic on its id, followed by the whole of its own text. Edge rows stand
+beside the table's rows, under negative ids.
 """
 
 from __future__ import annotations
@@ -34,15 +35,19 @@ NOTE = " || ".join(
         "'MEDICATIONS:'", NL, "'1. '", pick(C.POOL_MEDICATIONS, 7), "' '", pick(C.POOL_DOSAGES, 3), NL, "'2. '", pick(C.MEDICATIONS, 7), "' '", pick(C.POOL_DOSAGES, 7), NL, "'- asepsis, 5 grams'", NL, NL, NL, NL,
         "'Vitals: T 98.6F, HR 72, BP 120/80'", NL, pick(["Page 1 of 3", "=====", "[12:34:56]", "** DRAFT ** kept", "<<UNSIGNED>> kept", "plain"], 5), NL,
         "'SSN 123-45-6789 call 555-123-4567 or (743) 555-3824, zip 90210, a 95 year old, a.b@c.org'", NL,
-        "'“Quoted” – it’s cafe'", "'́'", "'…'", NL, pick(["PLAN:", "A/P:", "MEDICATIONS:", "Follow-up"], 3), NL, "chr(9)", "'rest and fluids'", NL, "substr(text, 1, 200)",
+        "'“Quoted” – it’s cafe'", "'́'", "'…'", NL, pick(["PLAN:", "A/P:", "MEDICATIONS:", "Follow-up"], 3), NL, "chr(9)", "'rest and fluids'", NL, "text",
     ]
 )
 
-#: With empty, blank and unmatched texts among them.
-SQL = f"CASE doc_id % 97 WHEN 3 THEN '' WHEN 5 THEN '   ' WHEN 7 THEN 'nothing to see' ELSE {NOTE} END"
+#: Empty, blank and unmatched texts, and matches at both ends.
+EDGES = {-1: "", -2: "   ", -3: "nothing to see", -4: "sepsis treated with aspirin"}
+
+#: The notes as a query over ``documents``.
+SQL = f"SELECT doc_id, {NOTE} AS text FROM documents" + "".join(f" UNION ALL SELECT CAST({k} AS BIGINT), '{v}'" for k, v in EDGES.items())
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id`` and ``text`` of the notes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.select("doc_id", F.expr(SQL).alias("text"))
+    edges = spark.createDataFrame(list(EDGES.items()), "doc_id long, text string")
+    return docs.select("doc_id", F.expr(NOTE).alias("text")).unionByName(edges)

@@ -171,7 +171,8 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def split_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return labeling.splits(notes(spark, sf)).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    """Of the documents alone: edge rows of the carrier belong to no split."""
+    return labeling.splits(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
 def subwords(spark: SparkSession, sf: str) -> DataFrame:

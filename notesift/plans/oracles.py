@@ -8,7 +8,7 @@ from notesift.functions import constants as C
 from notesift.operators import generator
 from notesift.plans.carrier import SQL
 
-NOTES = f"notes AS (SELECT doc_id, {SQL} AS text FROM documents)"
+NOTES = f"notes AS ({SQL})"
 #: Unicode's white space, spelt out for an engine whose \s is ASCII.
 WS = r"[\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
