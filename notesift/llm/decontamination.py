@@ -1,14 +1,16 @@
 """Benchmark questions in documents, also with other numbers, names and units.
 
-Texts become templates: numbers, names (capitalised inside a sentence) and units
-after a number are typed placeholders, other words are literal, without case and
-outer punctuation. Windows of template tokens are joined by hash with those of
-the benchmark; windows on one diagonal make runs, whose tokens are compared, and
-a slot must keep its value: where the item repeats a number or a name, so must the
-document. A document leaks if a run has 13 tokens, or an entire shorter item.
-
-Items of fewer than 5 tokens are ordinary phrases and are not searched. The item
-side is collected in blocks of a fixed number of items, each of which is matched
+Texts become templates: numbers, names (capitalised words) and units after a number
+are typed placeholders, other words are literal, without case and outer punctuation.
+A capital may be a name or the start of a sentence, so two words agree if both have
+one, or if they are equal. Windows of template tokens, and of plain tokens, are
+joined by hash with those of the benchmark; each gives a diagonal, whose tokens are
+compared, and a slot must keep its value: where the item repeats a number or a name,
+so must the document. A document leaks if a run has 13 tokens, or an entire shorter
+item, and 4 literal ones among them, or if all tokens of such a run are equal.
+
+Items of fewer than 5 tokens must occur token by token; those of fewer than 3 are
+ordinary phrases and are not searched. The item side is collected in blocks of a fixed number of items, each of which is matched
 with all documents, so its memory doesn't grow with the benchmark.
 
 Defined results: null and empty texts and items match nothing; repeated items
@@ -35,6 +37,8 @@ from notesift.llm.common import stored, unused
 
 #: Tokens in a window, in a run that counts, and literal ones that it needs.
 WINDOW, RUN, LITERAL = 8, 13, 4
+#: Tokens of the shortest item that is searched by template, and by plain tokens.
+TEMPLATE, PLAIN = 5, 3
 #: Items that are held in memory at once.
 BLOCK = 5_000
 #: Tokens of a worker's cache; it is cleared when full.
@@ -78,7 +82,7 @@ class Templates:
             text = ATTACHED.sub(" ", text)
         return text.replace("\n", "\x02 ").split()
 
-    def codes(self, tokens: list[str]) -> np.ndarray:
+    def raw(self, tokens: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
@@ -89,16 +93,40 @@ class Templates:
                 if t not in known:
                     known[t] = code(t)
             raw = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+        return raw
+
+    def codes(self, tokens: list[str]) -> np.ndarray:
+        return Coded.of(self.raw(tokens)).template
+
+
+@dataclass
+class Coded:
+    """Tokens as plain codes, whether they have a capital, and as template codes, where it is a name inside a sentence only."""
+
+    plain: np.ndarray
+    capital: np.ndarray
+    template: np.ndarray
+
+    @classmethod
+    def of(cls, raw: np.ndarray) -> Coded:
         flags = (raw & np.uint64(15)).astype(np.uint8)
-        out = raw | np.uint64(15)
+        plain = raw | np.uint64(15)
+        out = plain.copy()
         inside = np.zeros(len(raw), dtype=bool)
         inside[1:] = (flags[:-1] & ENDS) == 0
         number = (flags & NUMERIC) > 0
         after = np.zeros(len(raw), dtype=bool)
         after[1:] = number[:-1]
-        out[((flags & CAPITAL) > 0) & inside] = NAME_SLOT
-        out[((flags & UNIT) > 0) & after] = UNIT_SLOT
+        capital, unit = (flags & CAPITAL) > 0, ((flags & UNIT) > 0) & after
+        out[capital & inside] = NAME_SLOT
+        out[unit] = UNIT_SLOT
         out[number] = NUMBER_SLOT
+        return cls(plain, capital & ~unit, out)
+
+    def loose(self, names: np.ndarray) -> np.ndarray:
+        """Codes that are the same for all tokens that may agree: words that the items write with a capital are names as well."""
+        out = self.template.copy()
+        out[self.capital | ((out > UNIT_SLOT) & names[self.plain >> np.uint64(44)])] = NAME_SLOT
         return out
 
 
@@ -125,26 +153,30 @@ class Items:
 
     ids: list[int]
     tokens: list[list[str]] = field(default_factory=list)
-    codes: list[np.ndarray] = field(default_factory=list)
-    table: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=lambda: defaultdict(lambda: defaultdict(list)))
-    bitmaps: dict[int, np.ndarray] = field(default_factory=dict)
+    codes: list[Coded] = field(default_factory=list)
+    names: np.ndarray = field(default_factory=lambda: np.zeros(1 << 20, dtype=bool))
+    tables: dict[tuple[bool, int], dict[int, list[tuple[int, int]]]] = field(default_factory=dict)
+    bitmaps: dict[tuple[bool, int], np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]]) -> Items:
         made, templates = cls([i for i, _ in rows]), Templates()
         with np.errstate(over="ignore"):
-            for k, (_, text) in enumerate(rows):
+            for _, text in rows:
                 tokens = templates.tokens(text)
                 made.tokens.append(tokens)
-                made.codes.append(templates.codes(tokens))
-                size = min(WINDOW, len(tokens))
-                for at, h in enumerate(windows(made.codes[k], size).tolist() if size >= 5 else ()):
-                    made.table[size][h].append((k, at))
-        for size, table in made.table.items():
-            made.table[size] = dict(table)
-            made.bitmaps[size] = np.zeros(1 << 20, dtype=bool)
-            made.bitmaps[size][np.fromiter(table, dtype=np.uint64, count=len(table)) >> np.uint64(44)] = True
-        made.table = dict(made.table)
+                made.codes.append(coded := Coded.of(templates.raw(tokens)))
+                made.names[coded.plain[coded.capital] >> np.uint64(44)] = True
+            tables = defaultdict(lambda: defaultdict(list))
+            for k, coded in enumerate(made.codes):
+                size = min(WINDOW, len(coded.plain))
+                for loose, least in ((True, TEMPLATE), (False, PLAIN)):
+                    for at, h in enumerate(windows(coded.loose(made.names) if loose else coded.plain, size).tolist() if size >= least else ()):
+                        tables[loose, size][h].append((k, at))
+        for key, table in tables.items():
+            made.tables[key] = dict(table)
+            made.bitmaps[key] = np.zeros(1 << 20, dtype=bool)
+            made.bitmaps[key][np.fromiter(table, dtype=np.uint64, count=len(table)) >> np.uint64(44)] = True
         return made
 
 
@@ -152,13 +184,18 @@ def slot_value(token: str) -> str:
     return OUTER.sub("", token).lower()
 
 
-def consistent_runs(item: np.ndarray, item_tokens: list[str], doc: np.ndarray, doc_tokens: list[str], at: int, i: int, n: int) -> Iterator[tuple[int, int]]:
+def consistent_runs(item: Coded, item_tokens: list[str], doc: Coded, doc_tokens: list[str], at: int, i: int, n: int) -> Iterator[tuple[int, int]]:
     """Parts (offset, length) of ``n`` tokens from ``at`` in the item and ``i`` in the document that agree and keep their slots' values."""
+    x, y = item.template[at : at + n], doc.template[i : i + n]
+    typed = (x == y) & ((x == NUMBER_SLOT) | (x == UNIT_SLOT))
+    named = item.capital[at : at + n]
+    agree = (typed | (item.plain[at : at + n] == doc.plain[i : i + n]) | (named & doc.capital[i : i + n])).tolist()
+    kinds = np.where(typed, x, np.where(named, NAME_SLOT, np.uint64(0))).tolist()
     start, slots = 0, {}
     for k in range(n + 1):
-        same = k < n and item[at + k] == doc[i + k]
-        if same and item[at + k] <= UNIT_SLOT:
-            key, value = (int(item[at + k]), slot_value(item_tokens[at + k])), slot_value(doc_tokens[i + k])
+        same = k < n and agree[k]
+        if same and kinds[k]:
+            key, value = (kinds[k], slot_value(item_tokens[at + k])), slot_value(doc_tokens[i + k])
             same = slots.setdefault(key, value) == value
         if not same:
             if k > start:
@@ -166,32 +203,38 @@ def consistent_runs(item: np.ndarray, item_tokens: list[str], doc: np.ndarray, d
             start, slots = k + 1, {}
 
 
+def longest(equal: np.ndarray) -> int:
+    """The longest row of true values."""
+    cuts = np.flatnonzero(~np.concatenate([[False], equal, [False]]))
+    return int(np.diff(cuts).max()) - 1
+
+
 def leaks(items: Items, templates: Templates, text: str | None) -> list[tuple[int, int, int]]:
     """``(item id, first token, end)`` of every run that counts."""
     tokens = templates.tokens(text)
-    if len(tokens) < 5 or not items.table:
+    if len(tokens) < PLAIN or not items.tables:
         return []
-    codes, diagonals = templates.codes(tokens), defaultdict(list)
-    for size, table in items.table.items():
-        h = windows(codes, size)
-        for i in np.flatnonzero(items.bitmaps[size][h >> np.uint64(44)]).tolist():
+    coded, diagonals = Coded.of(templates.raw(tokens)), set()
+    loose = coded.loose(items.names)
+    for key, table in items.tables.items():
+        h = windows(loose if key[0] else coded.plain, key[1])
+        for i in np.flatnonzero(items.bitmaps[key][h >> np.uint64(44)]).tolist():
             for k, at in table.get(int(h[i]), ()):
-                diagonals[k, i - at].append(i)
+                diagonals.add((k, i - at))
     found = set()
-    for (k, shift), places in diagonals.items():
-        size = min(WINDOW, len(items.tokens[k]))
-        begin = 0
-        for p in range(1, len(places) + 1):
-            if p < len(places) and places[p] == places[p - 1] + 1:
-                continue
-            i, n = places[begin], places[p - 1] + size - places[begin]
-            begin = p
-            if n < min(RUN, len(items.tokens[k])):
+    for k, shift in diagonals:
+        item, at = items.codes[k], max(0, -shift)
+        n, need = min(len(item.plain) - at, len(tokens) - shift - at), min(RUN, len(item.plain))
+        if np.count_nonzero(item.plain[at : at + n] == coded.plain[shift + at : shift + at + n]) < min(LITERAL, need):
+            continue  # too few equal tokens for either rule
+        for off, length in consistent_runs(item, items.tokens[k], coded, tokens, at, shift + at, n) if n >= need else ():
+            if length < need:
                 continue
-            for off, length in consistent_runs(items.codes[k], items.tokens[k], codes, tokens, i - shift, i, n):
-                literal = int((codes[i + off : i + off + length] > UNIT_SLOT).sum())
-                if length >= min(RUN, len(items.tokens[k])) and literal >= LITERAL:
-                    found.add((items.ids[k], i + off, i + off + length))
+            p, q = at + off, shift + at + off
+            equal = item.plain[p : p + length] == coded.plain[q : q + length]
+            literal = int((equal & (item.template[p : p + length] > UNIT_SLOT)).sum())
+            if (literal >= LITERAL and need >= TEMPLATE) or longest(equal) >= need:
+                found.add((items.ids[k], q, q + length))
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 
 
