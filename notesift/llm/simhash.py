@@ -15,7 +15,7 @@ text are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -186,8 +186,12 @@ def band_masks(n: int, radius: int, width: int, miss: float = 0.03) -> np.ndarra
     return np.array(out, dtype=np.uint64)
 
 
+def _matrix(fps: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(fps), dtype=">u8").astype(np.uint64).reshape(-1, width)
+
+
 def _words(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, width)
+    return _matrix(column.to_pylist(), width)
 
 
 def bucketed(fps: DataFrame, masks: np.ndarray) -> DataFrame:
@@ -232,16 +236,21 @@ def split_hot(rows: DataFrame) -> DataFrame:
 def bucket_edges(rows: DataFrame, width: int, radius: int) -> DataFrame:
     """Links (``a``, ``b``) that span what lies within ``radius`` in each bucket."""
     refs = pivots(width)
+    return bucket_pairs(rows, lambda fps: forest(_matrix(fps, width), refs, radius))
+
+
+def bucket_pairs(rows: DataFrame, find: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """Pairs (``a``, ``b``) of what ``find`` gives as index pairs for the ``fp`` of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def solved(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+        def solved(key: np.ndarray, node: np.ndarray, fp: list[bytes]) -> pa.RecordBatch | None:
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             found = []
             for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]]), strict=True):
                 if b - a > 1:
-                    got = forest(fp[a:b], refs, radius)
+                    got = find(fp[a:b])
                     if len(got):
                         found.append(node[a:b][got])
             if not found:
@@ -249,10 +258,10 @@ def bucket_edges(rows: DataFrame, width: int, radius: int) -> DataFrame:
             pairs = np.concatenate(found)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        def arrays(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def arrays(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
             t = pa.Table.from_batches(parts)
             key = np.stack([t.column(k).to_numpy() for k in range(3)], axis=1)
-            return key, t.column(3).to_numpy(), _words(t.column(4).combine_chunks(), width)
+            return key, t.column(3).to_numpy(), t.column(4).to_pylist()
 
         for batch in batches:
             if not batch.num_rows:
@@ -301,6 +310,147 @@ def near_duplicates(
 #: bits differ with probability acos(2 * 0.8 / 1.8) / pi = 0.1515: 78 of 512 on average.
 #: The radius adds most of a standard deviation (8), so that few such pairs are missed.
 WIDE = {"words": 5, "width": 8, "radius": 84}
+#: Radius of candidates that are verified afterwards: three standard deviations above the mean.
+LOOSE = 102
+#: Sets of at most so many shingles are compared with all that they may resemble, since
+#: their fingerprints are majorities of few hashes; partners are a quarter larger at most.
+FEW = 64
+PARTNERS = FEW * 5 // 4
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    parts = set(shingles(text, words))
+    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64, count=len(parts)))
+
+
+def alike(common: np.ndarray | int, m: np.ndarray | int, n: np.ndarray | int) -> np.ndarray | bool:
+    """Jaccard similarity of 0.8 for sets of ``m`` and ``n`` elements, in whole numbers."""
+    return 9 * common >= 4 * (m + n)
+
+
+def prefix(size: int) -> int:
+    """Of two sorted sets that are alike, one of this size and any other share an element among their first so many."""
+    return size - -(-4 * size // 5) + 1
+
+
+def shared_forest(sets: list[bytes]) -> np.ndarray:
+    """Index pairs that span the components of sets that are alike."""
+    each = [np.frombuffer(x, dtype=np.uint64) for x in sets]
+    size = np.array([len(x) for x in each])
+    rest, edges = np.arange(len(each)), []
+    while len(rest) > 1:
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            k = front.pop()
+            near = rest[alike(np.minimum(size[rest], size[k]), size[rest], size[k])]
+            if not len(near):
+                continue
+            flat = np.concatenate([each[j] for j in near])
+            at = np.minimum(np.searchsorted(each[k], flat), size[k] - 1)
+            common = np.add.reduceat((each[k][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size[near])[:-1]]))
+            hit = near[alike(common, size[near], size[k])]
+            edges.extend((k, j) for j in hit)
+            front.extend(hit)
+            rest = np.setdiff1d(rest, hit, assume_unique=True)
+    return np.array(edges, dtype=np.int64).reshape(-1, 2)
+
+
+def short_edges(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """Links (``a``, ``b``) among texts of at most PARTNERS shingles: exact, by common elements of prefixes."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(x.as_py(), words) for x in batch.column(1)]
+            few = [k for k, some in enumerate(made) if 0 < len(some) <= PARTNERS]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(few, pa.int64())), pa.array([made[k].tobytes() for k in few], pa.binary())], ["node", "fp"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = [np.frombuffer(x.as_py(), dtype=np.int64)[: prefix(len(x.as_py()) // 8)] for x in batch.column(1)]
+            rows = pa.array(np.repeat(np.arange(len(first)), [len(x) for x in first]).astype(np.int64))
+            flat = np.concatenate([np.empty(0, dtype=np.int64), *first])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(rows), batch.column(1).take(rows)], ["key", "node", "fp"])
+
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    small, _ = stored(source.mapInArrow(sets, "node long, fp binary"), "short-sets")
+    once = small.groupBy("fp").agg(F.min("node").alias("node"))  # equal sets are searched once
+    same = small.withColumnRenamed("node", "b").join(once, "fp").where("b <> node").select(F.col("node").alias("a"), "b")
+    rows, _ = stored(once.select("node", "fp").mapInArrow(keys, "key long, node long, fp binary"), "short-keys")
+    return bucket_pairs(split_hot(rows), shared_forest).union(same).distinct()
+
+
+def alike_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``pairs`` (``a``, ``b``) and whether the shingle sets of their texts are ``alike``."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                some = shingle_set(batch.column(1)[at].as_py(), words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([some.tobytes()], pa.binary())], ["node", "set"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
+                found.append(bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], ["a", "b", "alike"])
+
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(ends, "node", "left_semi")
+    made, _ = stored(texts.mapInArrow(sets, "node long, set binary").distinct(), "shingle-sets")
+    both = pairs.join(made.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(made.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    tested = both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, alike boolean")
+    # rows that share an id may have several texts
+    return stored(tested.groupBy("a", "b").agg(F.max("alike").alias("alike")), "alike-pairs")[0]
+
+
+def _apart(fps: list[bytes], width: int, radius: int, block: int = 64) -> np.ndarray:
+    """All index pairs within ``radius`` whose groups, the word after the fingerprint, differ."""
+    all_ = _matrix(fps, width + 1)
+    fp, grp, out = all_[:, :width], all_[:, width], [np.empty((0, 2), dtype=np.int64)]
+    for at in range(0, len(fp), block):
+        near = np.zeros((min(block, len(fp) - at), len(fp)), dtype=np.int16)
+        for k in range(width):
+            near += np.bitwise_count(fp[at : at + block, k][:, None] ^ fp[None, :, k])
+        i, j = np.nonzero((near <= radius) & (grp[at : at + block][:, None] != grp[None, :]))
+        out.append(np.stack([i + at, j], axis=1)[i + at < j])
+    return np.concatenate(out)
+
+
+def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, width: int = 8, radius: int = LOOSE) -> DataFrame:
+    """``id`` and ``component`` of every row: groups linked by a Jaccard similarity of 0.8 of shingle sets.
+
+    Fingerprints within ``radius`` are candidates only. What spans a bucket's
+    candidates is verified first; where a link fails, all pairs of candidates that
+    are still in different groups are tested too, so no link between groups is lost.
+    """
+    prints, _ = stored(fingerprints(docs, id_col, text_col, words, width), "prints")
+    nodes, _ = stored(prints.where("id is not null").distinct().withColumnRenamed("id", "node"), "nodes")
+    # fingerprints are named by their least id; others with the same are candidates of it
+    named, _ = stored(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    equal = nodes.join(named.where("n > 1"), "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    masks = band_masks(named.count(), radius, width)
+    rows = bucketed(named.select(F.col("least").alias("node"), "fp"), masks)
+    spanning, _ = stored(bucket_edges(split_hot(rows), width, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").union(equal).distinct(), "near-pairs")
+    tested = alike_pairs(spanning, docs, id_col, text_col, words)
+    links = tested.where("alike").select("a", "b").union(short_edges(docs, id_col, text_col, words))
+    links, _ = stored(links.distinct(), "alike-links")
+
+    near = connected(spanning, "near-links")
+    doubtful = near.join(tested.where("not alike").select(F.col("a").alias("node")).join(near, "node").select("root").distinct(), "root", "left_semi").select("node").distinct()
+    groups = connected(links, "alike-groups")
+    left = nodes.join(doubtful, "node", "left_semi").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = left.select("node", F.concat("fp", F.unhex(F.lpad(F.hex("root"), 16, "0"))).alias("fp"))
+    grouped, _ = stored(grouped.distinct(), "doubtful")
+    if grouped.count():
+        wider = np.hstack([masks, np.zeros((len(masks), 1), dtype=np.uint64)])
+        rest = bucket_pairs(split_hot(bucketed(grouped, wider)), lambda fps: _apart(fps, width, radius))
+        rest, _ = stored(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs-apart")
+        links = links.union(alike_pairs(rest, docs, id_col, text_col, words).where("alike").select("a", "b"))
+    found = connected(links, "alike-groups")
+    return prints.join(found, prints.id == found.node, "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 #: Rows of one number that are broadcast at most.
@@ -308,12 +458,12 @@ SMALL = 1_000_000
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, that of the least id.
+    """``docs`` with one row of each verified group of near-duplicates, that of the least id.
 
     Rows with a null id stay. Of rows that share an id one stays, that with the
     least text (the first for nulls), only if there are any is it looked for.
     """
-    found, _ = stored(near_duplicates(docs, id_col, text_col, **how), "near-duplicates")
+    found, _ = stored(verified_groups(docs, id_col, text_col, **how), "near-duplicates")
     gone, _ = stored(found.where("id <> component").select("id").distinct(), "near-duplicates-gone")
     gone = gone.withColumnRenamed("id", "gone id")
     n = gone.count()
