@@ -54,17 +54,21 @@ def negation(text: Column, start: Column, end: Column) -> Column:
     """``negated``, ``trigger`` and ``trigger_type`` of a mention, from the words before it, else after it."""
     words = lambda t: F.filter(F.split(F.regexp_replace(F.lower(t), r"(?U)[\s\x1c-\x1f]+", " "), " "), lambda w: w != "")
     low = F.greatest(start - C.NEGATION_CHARS, F.lit(0))
-    before = words(F.substring(text, low + 1, start - low))
-    after = words(F.substring(text, end + 1, F.lit(C.NEGATION_CHARS)))
-    pre = F.array_join(F.slice(before, F.greatest(F.lit(1), F.size(before) - (C.NEGATION_WORDS - 1)), C.NEGATION_WORDS), " ")
-    post = F.array_join(F.slice(after, 1, C.NEGATION_WORDS), " ")
-    hit = lambda triggers, window: F.get(F.filter(F.array(*map(F.lit, sorted(triggers, key=len, reverse=True))), lambda t: F.contains(window, t)), F.lit(0))
-    first, second = hit(C.PRE_TRIGGERS, pre), hit(C.POST_TRIGGERS, post)
-    return F.struct(
-        (first.isNotNull() | second.isNotNull()).alias("negated"),
-        F.coalesce(first, second, F.lit("")).alias("trigger"),
-        F.when(first.isNotNull(), "pre").when(second.isNotNull(), "post").otherwise("none").alias("trigger_type"),
-    )
+    last = lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - (C.NEGATION_WORDS - 1)), C.NEGATION_WORDS), " ")
+    pre = spans.bound(words(F.substring(text, low + 1, start - low)), last)
+    post = F.array_join(F.slice(words(F.substring(text, end + 1, F.lit(C.NEGATION_CHARS))), 1, C.NEGATION_WORDS), " ")
+    by_length = lambda triggers: F.array(*map(F.lit, sorted(triggers, key=len, reverse=True)))
+    # the windows are worked out once, not for each trigger, and so are the hits
+    hit = lambda triggers, window: spans.bound(window, lambda w: F.get(F.filter(by_length(triggers), lambda t: F.contains(w, t)), F.lit(0)))
+
+    def judged(h: Column) -> Column:
+        return F.struct(
+            (h["pre"].isNotNull() | h["post"].isNotNull()).alias("negated"),
+            F.coalesce(h["pre"], h["post"], F.lit("")).alias("trigger"),
+            F.when(h["pre"].isNotNull(), "pre").when(h["post"].isNotNull(), "post").otherwise("none").alias("trigger_type"),
+        )
+
+    return spans.bound(F.struct(hit(C.PRE_TRIGGERS, pre).alias("pre"), hit(C.POST_TRIGGERS, post).alias("post")), judged)
 
 
 def scored_terms(text: Column) -> Column:
@@ -90,12 +94,12 @@ def as_entities(found: Column, confidence, source: str) -> Column:
 
 
 def deduplicated(entities: Column) -> Column:
-    """One of equal text (without case), label and place: the last of the model's, else the last."""
-    same = lambda a, b: (F.lower(a["text"]) == F.lower(b["text"])) & (a["label"] == b["label"]) & (a["start"] == b["start"]) & (a["end"] == b["end"])
-    rank = lambda e, k: F.struct((e["source"] == "model").cast("int").alias("m"), k.alias("k"))
-    keyed = F.transform(entities, lambda e, k: F.struct(rank(e, k).alias("r"), e.alias("e")))
-    best = lambda every: F.filter(every, lambda x: ~F.exists(every, lambda y: same(x["e"], y["e"]) & (y["r"] > x["r"])))
-    return F.transform(spans.bound(keyed, best), lambda x: x["e"])
+    """One of equal text (without case), label and place: the last of the model's, else the first; sorted by these."""
+    key = lambda e: F.struct(e["start"].alias("s"), e["end"].alias("e"), e["label"].alias("l"), F.lower(e["text"]).alias("t"))
+    rank = lambda e, k: F.when(e["source"] == "model", F.lit(-1_000_000_000) - k).otherwise(k)
+    keyed = F.array_sort(F.transform(entities, lambda e, k: F.struct(key(e).alias("key"), rank(e, k).alias("rank"), e.alias("e"))))
+    first = lambda every: F.filter(every, lambda x, k: (k == 0) | (x["key"] != F.get(every, k - 1)["key"]))
+    return F.transform(spans.bound(keyed, first), lambda x: x["e"])
 
 
 def route(confidence: Column) -> Column:
@@ -113,11 +117,15 @@ def context(text: Column, start: Column, end: Column) -> Column:
     return F.concat(F.when(low > 0, "...").otherwise(""), F.substring(text, low + 1, high - low), F.when(high < F.length(text), "...").otherwise(""))
 
 
-def merged(text: Column, model: Column, rules: Column, sections: Column) -> Column:
-    """Entities of both kinds, deduplicated, without overlaps, with negation, section, context and status."""
-    kept = spans.most_confident(deduplicated(F.concat(model, rules)), ENTITY)
+def kept(model: Column, rules: Column) -> Column:
+    """Entities of both kinds, deduplicated and without overlaps."""
+    return spans.most_confident(deduplicated(F.concat(model, rules)), ENTITY)
+
+
+def finished(text: Column, entities: Column, sections: Column) -> Column:
+    """``entities`` with negation, section, context and status."""
 
-    def finished(secs: Column, e: Column) -> Column:
+    def one(secs: Column, e: Column) -> Column:
         return F.struct(
             e["text"].alias("text"), e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end"),
             F.round(e["confidence"], 4).alias("confidence"), negation(text, e["start"], e["end"])["negated"].alias("negated"),
@@ -125,4 +133,4 @@ def merged(text: Column, model: Column, rules: Column, sections: Column) -> Colu
             route(e["confidence"]).alias("status"),
         )
 
-    return spans.bound(sections, lambda secs: F.transform(kept, lambda e: finished(secs, e)))
+    return spans.bound(sections, lambda secs: F.transform(entities, lambda e: one(secs, e)))

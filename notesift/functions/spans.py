@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<text:string,label:string,start:int,end:int,ord:int>"
@@ -20,6 +20,14 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its columns worked out once: what follows reads them instead of repeating their expressions.
+
+    Projections are merged by the optimizer, expressions and all; a generator of one row stays between them.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def empty() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 

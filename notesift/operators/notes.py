@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 
 from notesift.functions import clean, extract
 from notesift.functions import constants as C
+from notesift.functions.spans import settled
 
 Scorer = Callable[[Column], Column]
 
 
 def preprocess(notes: DataFrame, expand_abbrevs: bool = True, mask_phi: bool = True, preserve: bool = True) -> DataFrame:
     """Adds cleaned_text, abbreviations_expanded, phi_spans, sentences and sections; what follows sees the masked text."""
-    out = notes.withColumn("cleaned_text", clean.clean_text(F.col("text"))).withColumn("abbreviations_expanded", clean.spans.empty())
+    out = settled(notes.withColumn("cleaned_text", clean.clean_text(F.col("text"))))
+    out = out.withColumn("abbreviations_expanded", clean.find_abbreviations(F.col("cleaned_text")) if expand_abbrevs else clean.spans.empty())
     if expand_abbrevs:
-        out = out.withColumn("abbreviations_expanded", clean.find_abbreviations(F.col("cleaned_text")))
-        out = out.withColumn("cleaned_text", clean.expand(F.col("cleaned_text"), F.col("abbreviations_expanded"), preserve))
+        out = settled(settled(out).withColumn("cleaned_text", clean.expand(F.col("cleaned_text"), F.col("abbreviations_expanded"), preserve)))
     out = out.withColumn("phi_spans", clean.detect_phi(F.col("cleaned_text")) if mask_phi else clean.spans.empty())
     if mask_phi:
-        out = out.withColumn("cleaned_text", clean.mask(F.col("cleaned_text"), F.col("phi_spans")))
+        out = settled(settled(out).withColumn("cleaned_text", clean.mask(F.col("cleaned_text"), F.col("phi_spans"))))
     return out.withColumn("sentences", clean.split_sentences(F.col("cleaned_text"))).withColumn("sections", clean.detect_sections(F.col("cleaned_text")))
 
 
@@ -40,8 +41,10 @@ def summary(done: DataFrame) -> DataFrame:
 def extracted(done: DataFrame, scorer: Scorer = extract.scored_terms) -> DataFrame:
     """Adds ``merged``: entities of the scorer and the rules after postprocessing."""
     rules = extract.as_entities(extract.rule_entities(F.col("cleaned_text")), lambda s: F.lit(C.RULE_CONFIDENCE), "rules")
-    out = done.withColumn("rules", rules).withColumn("model", scorer(F.col("cleaned_text")))
-    return out.withColumn("merged", extract.merged(F.col("cleaned_text"), F.col("model"), F.col("rules"), F.col("sections")))
+    out = settled(settled(done).withColumn("rules", rules).withColumn("model", scorer(F.col("cleaned_text"))))
+    out = settled(out.withColumn("kept", extract.kept(F.col("model"), F.col("rules"))))
+    out = out.withColumn("merged", extract.finished(F.col("cleaned_text"), F.col("kept"), F.col("sections"))).drop("kept")
+    return settled(out)
 
 
 def formatted(done: DataFrame) -> DataFrame:

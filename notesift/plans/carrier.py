@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notesift.functions import constants as C
+from notesift.functions.spans import settled
 
 
 def pick(values: list[str], factor: int) -> str:
@@ -50,4 +51,4 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id`` and ``text`` of the notes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     edges = spark.createDataFrame(list(EDGES.items()), "doc_id long, text string")
-    return docs.select("doc_id", F.expr(NOTE).alias("text")).unionByName(edges)
+    return settled(docs.select("doc_id", F.expr(NOTE).alias("text"))).unionByName(edges)

@@ -223,7 +223,7 @@ def extracted(spark: SparkSession, sf: str) -> DataFrame:
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
     """Rules and the stand-in tagger over the raw carrier."""
-    source = notes(spark, sf).withColumnRenamed("text", "cleaned_text").withColumn("sections", clean.detect_sections(F.col("cleaned_text")))
+    source = path.settled(notes(spark, sf).withColumnRenamed("text", "cleaned_text").withColumn("sections", clean.detect_sections(F.col("cleaned_text"))))
     return path.extracted(source)
 
 

@@ -23,4 +23,5 @@ def run(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def request_counts(events: DataFrame, late: str = "10 minutes", every: str = "5 minutes") -> DataFrame:
     """Requests by endpoint in tumbling windows; what is later than ``late`` is dropped."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    live = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs one with a zone
+    return live.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("n"))
