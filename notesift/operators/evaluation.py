@@ -31,11 +31,14 @@ def chunks(rows: DataFrame, tag: str) -> DataFrame:
     return rows.groupBy("doc_id", "g", "kind").agg(F.min("pos").alias("s"), F.max("pos").alias("e")).drop("g")
 
 
-def _ratios(tp: str = "tp", fp: str = "fp", fn: str = "fn") -> list[Column]:
+SCORES = ("precision", "recall", "f1")
+
+
+def _ratios(digits: int | None = 4, tp: str = "tp", fp: str = "fp", fn: str = "fn") -> list[Column]:
     t, p, n = F.col(tp), F.col(tp) + F.col(fp), F.col(tp) + F.col(fn)
     precision, recall = F.when(p > 0, t / p).otherwise(0.0), F.when(n > 0, t / n).otherwise(0.0)
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    return [F.round(x, 4).alias(c) for x, c in ((precision, "precision"), (recall, "recall"), (f1, "f1"))]
+    return [(x if digits is None else F.round(x, digits)).alias(c) for x, c in zip((precision, recall, f1), SCORES, strict=True)]
 
 
 def _matches(pairs: DataFrame) -> DataFrame:
@@ -53,9 +56,18 @@ def ner_prf(pairs: DataFrame) -> DataFrame:
 
 
 def ner_report(pairs: DataFrame) -> DataFrame:
-    """The same by kind, with the micro average."""
-    rows = _matches(pairs).rollup("kind").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    return rows.select(F.coalesce("kind", F.lit("micro avg")).alias("kind"), "tp", "fp", "fn", (F.col("tp") + F.col("fn")).alias("support"), *_ratios())
+    """The same by kind, with the averages over all entities (micro), over kinds (macro), and over kinds by their support (weighted)."""
+    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
+    kinds = _matches(pairs).groupBy("kind").agg(*sums).select("kind", "tp", "fp", "fn", *_ratios(None))
+    support = F.sum(F.col("tp") + F.col("fn"))
+    means = [F.avg(c).alias(f"macro {c}") for c in SCORES]
+    weighted = [F.when(support > 0, F.sum(F.col(c) * (F.col("tp") + F.col("fn"))) / support).otherwise(0.0).alias(f"weighted {c}") for c in SCORES]
+    rows = kinds.rollup("kind").agg(*sums, *means, *weighted)
+    rows = rows.select("*", *_ratios(None), (F.col("tp") + F.col("fn")).alias("support"))
+    row = lambda name, prefix: F.struct(name.alias("kind"), *[F.round(F.col(prefix + c), 4).alias(c) for c in SCORES])
+    averages = F.array(row(F.lit("micro avg"), ""), row(F.lit("macro avg"), "macro "), row(F.lit("weighted avg"), "weighted "))
+    each = rows.where("kind is not null or tp is not null").select("tp", "fp", "fn", "support", F.explode(F.when(F.col("kind").isNull(), averages).otherwise(F.array(row(F.col("kind"), "")))).alias("r"))
+    return each.select("r.kind", "tp", "fp", "fn", "support", *[f"r.{c}" for c in SCORES])
 
 
 def errors(pairs: DataFrame) -> DataFrame:

@@ -35,8 +35,10 @@ def write_audit(events: DataFrame, path: str) -> None:
     events.withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).write.mode("append").json(path)
 
 
-def batch_extract(notes: DataFrame) -> DataFrame:
-    """Requests without an id get one by their place; blank texts are left out."""
+def batch_extract(notes: DataFrame, order: str | None = None) -> DataFrame:
+    """Output documents of a batch. Blank texts are left out; requests without an id are named by their place, the column ``order``."""
+    if order:
+        notes = notes.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("doc_"), F.col(order).cast("string"))))
     return document_path.run(notes)
 
 
@@ -55,10 +57,10 @@ def latency_histogram(events: DataFrame, seconds: str = "value / 100") -> DataFr
 
 
 def health(spark: SparkSession, model_loaded: bool = True) -> DataFrame:
+    """State of the service: degraded without a model; seconds since the session's context was started."""
     status = "healthy" if model_loaded else "degraded"
-    return spark.range(1).select(
-        F.lit(status).alias("status"), F.lit(model_loaded).alias("model_loaded"), F.lit(C.MODEL_VERSION).alias("model_version"), F.lit(0.0).alias("uptime_seconds")
-    )
+    uptime = (F.unix_millis(F.current_timestamp()) - F.lit(spark.sparkContext.startTime)) / 1000
+    return spark.range(1).select(F.lit(status).alias("status"), F.lit(model_loaded).alias("model_loaded"), F.lit(C.MODEL_VERSION).alias("model_version"), uptime.alias("uptime_seconds"))
 
 
 def with_retries(notes: DataFrame, attempts: int = 3) -> DataFrame:

@@ -311,7 +311,15 @@ def build() -> dict[str, str]:
         """SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS text, any_value(label) AS label, min("start") AS "start", max("end") AS "end", round(min(conf), 4) AS confidence FROM o WHERE stops = 0 GROUP BY doc_id, g""",
     )
     out["ner_prf"] = w(matches(), f"t AS (SELECT {SUMS} FROM m)", f"SELECT tp, fp, fn, {ratios()} FROM t")
-    out["ner_report"] = w(matches(), f"t AS (SELECT kind, {SUMS} FROM m GROUP BY kind UNION ALL SELECT 'micro avg', {SUMS} FROM m)", f"SELECT kind, tp, fp, fn, tp + fn AS support, {ratios()} FROM t")
+    exact = ratios().replace("round(", "(").replace(", 4)", ")")
+    scores = ("precision", "recall", "f1")
+    mean = lambda f: ", ".join(f"round({f(c)}, 4) AS {c}" for c in scores)
+    out["ner_report"] = w(
+        matches(), f"t AS (SELECT kind, {SUMS} FROM m GROUP BY kind)", f"u AS (SELECT {SUMS} FROM m)", f"x AS (SELECT tp, fp, fn, tp + fn AS support, {exact} FROM t)",
+        f"""SELECT kind, tp, fp, fn, tp + fn AS support, {ratios()} FROM t UNION ALL SELECT 'micro avg', tp, fp, fn, tp + fn, {ratios()} FROM u
+        UNION ALL SELECT 'macro avg', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT, sum(support)::BIGINT, {mean(lambda c: f"avg({c})")} FROM x
+        UNION ALL SELECT 'weighted avg', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT, sum(support)::BIGINT, {mean(lambda c: f"sum({c} * support) / sum(support)")} FROM x""",
+    )
     out["error_cases"] = w(pairs(), "SELECT * FROM wrong")
     out["error_distribution"] = w(pairs(), "SELECT error_type, count(*) AS n FROM wrong GROUP BY error_type")
     confusion = "cm AS (SELECT tt AS true_label, pt AS pred_label, count(*) AS n FROM kept GROUP BY tt, pt)"

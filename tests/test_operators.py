@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from notesift.functions import constants as C
-from notesift.operators import evaluation, labeling, notes
+from notesift.functions import extract
+from notesift.operators import evaluation, labeling, notes, serving
 from notesift.plans import carrier, oracles
 from notesift.sources import jsonl
 from notesift.streaming import notes as stream
@@ -91,3 +92,28 @@ def test_windowed_counts(spark, tmp_path):
     run = live.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_requests_without_id_or_text(spark):
+    rows = [(None, "sepsis", 1), (None, " ", 2), ("n7", "aspirin 5mg", 3), (None, "no sepsis", 4), (None, None, 5)]
+    made = serving.batch_extract(spark.createDataFrame(rows, "doc_id string, text string, place int"), "place").collect()
+    assert sorted(r.doc_id for r in made) == ["doc_1", "doc_4", "n7"]
+
+
+def test_rule_duplicates_keep_the_first(spark):
+    one = lambda text, start, source, conf: (text, "X", start, start + 3, 0, conf, source)
+    rows = [one("abc", 5, "model", 0.1), one("ABC", 5, "model", 0.2), one("abc", 5, "rules", 0.8), one("q q", 9, "rules", 0.3), one("Q q", 9, "rules", 0.4)]
+    frame = spark.createDataFrame([(rows,)], f"e array<{extract.ENTITY}>")
+    got = frame.select(extract.deduplicated(F.col("e")).alias("e")).first().e
+    assert [(r.text, r.confidence) for r in got] == [("ABC", 0.2), ("q q", 0.3)]
+
+
+def test_a_note_is_made_once(spark):
+    """The plan has the carrier's note once for the documents and once for its edges at most."""
+    plan = entry.queries()["postprocess"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HISTORY OF PRESENT ILLNESS:") <= 2
+
+
+def test_health_knows_how_long_it_runs(spark):
+    row = serving.health(spark, False).first()
+    assert row.status == "degraded" and row.uptime_seconds > 0
