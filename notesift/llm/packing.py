@@ -4,8 +4,12 @@ Only lengths matter for the packing, and a length is at most the capacity, so th
 plan is made from a histogram of at most ``capacity`` counts. Exact complements
 go first: for the longest length left, a single, a pair or a triple of lengths
 whose sum is exactly the gap is consumed as often as the counts allow. What has
-no exact complement left is placed best-fit, longest first. The plan says which
-ranks of each length go to which sequences; the pieces take their places by rank.
+no exact complement left is placed best-fit, longest first. Exact fits may use up
+short lengths that others need more, so plans are made with exact complements of
+all lengths, of those over half the capacity, and of none, and the one with the
+fewest sequences is taken: it never has more than best fit alone. The plan says
+which ranks of each length go to which sequences; the pieces take their places
+by rank.
 
 Defined results: a null text counts as empty and still has its end token; every
 row, repeated ones too, is packed by itself; a null id is kept; an empty table
@@ -14,10 +18,11 @@ gives no pieces. Columns other than the id and the text are not read.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -27,63 +32,61 @@ from pyspark.sql import functions as F
 
 from notesift.llm.common import stored
 
-#: Entries of a worker's cache of encoded units; it is cleared when full.
-CACHE = 700_000
-#: A space before white space or at the end: there the text isn't cut at spaces.
-UNEVEN = re.compile(r" (?:\s|\Z)")
+# Fixed value: how a byte-level pre-tokenizer cuts texts.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_spellings() -> dict[str, int]:
+    """The character that spells each byte in a byte-level vocabulary: itself if it can be seen, else one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {chr(b): b for b in seen} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
+
+
+def ranked(spec: dict) -> dict[bytes, int] | None:
+    """Ranks of byte strings if ids follow the order of merges, so that merging by rank gives the tokenizer's ids; else None."""
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or spec["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    pairs = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+    made, spelt = [a + b for a, b in pairs], byte_spellings()
+    ids = [model["vocab"].get(x, -1) for x in made]
+    if any(x >= y for x, y in zip(ids, ids[1:], strict=False)) or any(c not in model["vocab"] for c in spelt):
+        return None
+    return {bytes(spelt[c] for c in x): model["vocab"][x] for x in (*spelt, *made)}
 
 
 class Encoder:
-    """Token ids of texts, as little-endian unsigned 32-bit integers.
+    """Token ids of texts, as little-endian unsigned 32-bit integers, equal to those of the tokenizer at ``path``.
 
-    A byte-level pre-tokenizer cuts before any single space, so the units from one
-    space to the next are encoded once and looked up after that.
+    Where merging by rank is the same, the library for ranked vocabularies does it,
+    in less than half the time; texts with the spelling of an added token, and all
+    texts of other vocabularies, go to the tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.units = Tokenizer.from_file(path), {}
-        added = {k for k, x in self.tokenizer.get_added_tokens_decoder().items() if x}
-        # a byte-level vocabulary spells each byte as one character
-        vocab = self.tokenizer.get_vocab()
-        self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
-        for token, k in vocab.items():
-            self.width[k] = len(token.encode()) if k in added else len(token)
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: list[str], gap: str) -> None:
-        """Encode units that may be joined by ``gap`` (one token or nothing), many at once, and cut by their bytes."""
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            ids = self._encode([gap.join(some)])[0]
-            ends = np.cumsum(self.width[ids])
-            stops = np.cumsum([len(x.encode()) + len(gap) for x in some])
-            cuts = np.searchsorted(ends, stops - len(gap)) + 1
-            starts = np.concatenate([[0], np.searchsorted(ends, stops[:-1]) + 1])
-            raw = ids.tobytes()
-            self.units.update((x, raw[4 * i : 4 * j]) for x, i, j in zip(some, starts.tolist(), cuts.tolist(), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for text in texts:
-            if UNEVEN.search(text):
-                cut.append([text])
-            else:
-                first, *rest = text.split(" ")
-                cut.append(([first] if first else []) + [" " + x for x in rest])
-        if len(self.units) > CACHE:
-            self.units.clear()
-        missing = {x for units in cut for x in units if x not in self.units}
-        joined = [x for x in missing if x[0] == " " and x[1:2].strip() and "<|" not in x]
-        first = [x for x in missing if x[0] != " " and x == x.strip() and "<|" not in x and len(x) < 1000]
-        self._learn(joined, "")
-        self._learn(first, "\n")
-        others = list(missing.difference(joined, first))
-        self.units.update((x, ids.tobytes()) for x, ids in zip(others, self._encode(others), strict=True))
-        return [b"".join(map(self.units.__getitem__, units)) for units in cut]
+        self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        ranks = ranked(spec)
+        self.fast = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+
+    def encode(self, text: str) -> bytes:
+        if self.fast is None or any(x in text for x in self.added):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, dtype="<u4").tobytes()
+
+
+@cache
+def worker_encoder(path: str) -> Encoder:
+    """One for each worker process."""
+    return Encoder(path)
 
 
 def pieces(
@@ -98,17 +101,13 @@ def pieces(
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 rows = []
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                for key, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    ids += last
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = encoder.encode(text or "") + last
                     n = len(ids) // 4
                     edge = [0, *range(n % capacity or capacity, n + 1, capacity)]
                     for k in range(len(edge) - 1):
@@ -124,6 +123,12 @@ def pieces(
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in a sequence) and how many sequences have each; every length is used as often as it occurs."""
+    plans = [plan_above(counts, capacity, least) for least in (0, capacity // 2, capacity)]
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def plan_above(counts: dict[int, int], capacity: int, least: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan with exact complements of lengths above ``least`` only."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -169,7 +174,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
         return None
 
     take((capacity,))
-    for length in range(capacity - 1, 0, -1):
+    for length in range(capacity - 1, least, -1):
         while left[length] and (found := complement(length)):
             take((length, *found))
 

@@ -1,3 +1,4 @@
+import bisect
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -23,17 +24,38 @@ TEXTS = [
 ]
 
 
-def test_units_encode_like_whole_texts():
-    got = packing.Encoder(PATH).encode([t or "" for t in TEXTS])
-    for text, ids in zip(TEXTS, got, strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == reference(text)[:-1], text
+def encoded(texts):
+    encoder = packing.Encoder(PATH)
+    assert encoder.fast is not None
+    return [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in texts]
 
 
-def test_encoder_on_the_supplied_documents():
+def references(texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    return [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_are_the_tokenizers():
+    rng = random.Random(3)
+    odd = list("ab Z1.,'\n\t\r\x0b\x85\xa0\u3000\u2028é漢\U0001f600\u0301²½\u200d_-<|>s re ll ve") + ["<|endoftext|>"]
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(odd) for _ in range(rng.randrange(1, 40))) for _ in range(4000)]
+    texts += [x * 30_000 for x in ("a", " ", "\n", "ab ", "é", "!?", "x\n \n", "7")]
+    assert encoded(texts) == references(texts)
+
+
+def test_ids_of_the_supplied_documents():
     import pyarrow.parquet as pq
 
     texts = [x or "" for x in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
-    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Encoder(PATH).encode(texts)] == [reference(t)[:-1] for t in texts]
+    assert encoded(texts) == references(texts)
+
+
+def test_other_vocabularies_go_to_the_tokenizer():
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.fast is None
+    assert np.frombuffer(encoder.encode("Plain words"), "<u4").tolist() == encoder.tokenizer.encode("Plain words", add_special_tokens=False).ids
 
 
 def check_rows(rows, docs, capacity):
@@ -88,5 +110,22 @@ def test_plan_uses_every_length_and_stays_near_the_bound(seed):
     assert sum(n for _, n in made) <= -(-sum(sizes) // 512) * 1.01 + 1
 
 
+def best_fit(counts, capacity):
+    """Sequences of best-fit decreasing, piece by piece."""
+    gaps = []
+    for x in sorted(counts.elements(), reverse=True):
+        at = bisect.bisect_left(gaps, x)
+        bisect.insort(gaps, (gaps.pop(at) if at < len(gaps) else capacity) - x)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_plan_never_has_more_than_best_fit(seed):
+    rng = random.Random(seed)
+    kinds = [lambda: rng.randint(1, 512), lambda: rng.randint(150, 380), lambda: rng.choice((31, 97, 130, 260, 300, 411)), lambda: max(1, min(512, int(rng.lognormvariate(4.5, 1))))]
+    counts = Counter(kinds[seed % 4]() for _ in range(3000))
+    assert sum(n for _, n in packing.plan(counts, 512)) <= best_fit(counts, 512)
+
+
 def test_plan_takes_exact_triples():
     assert sorted(packing.plan({6: 2, 4: 2, 3: 2, 7: 1, 2: 1, 1: 2}, 10), key=str) and sum(n for _, n in packing.plan({5: 1, 2: 2, 1: 1}, 10)) == 1
