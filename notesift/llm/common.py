@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where none is set, as in tests."""
+    """The folder that all executors share. Where none is set, a single-machine session, as in tests, gets one; a cluster must set it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = made.get() if made.isDefined() else None
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="notesift-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
