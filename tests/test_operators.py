@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from notesift.functions import constants as C
 from notesift.functions import extract
-from notesift.operators import evaluation, labeling, notes, serving
+from notesift.operators import evaluation, generator, labeling, notes, serving
 from notesift.plans import carrier, oracles
 from notesift.sources import jsonl
 from notesift.streaming import notes as stream
@@ -117,3 +117,16 @@ def test_a_note_is_made_once(spark):
 def test_health_knows_how_long_it_runs(spark):
     row = serving.health(spark, False).first()
     assert row.status == "degraded" and row.uptime_seconds > 0
+
+
+def test_split_and_dataset_sinks(spark, tmp_path):
+    records = spark.range(20).select(F.col("id").alias("doc_id"), F.array(F.lit("a")).alias("tokens"))
+    jsonl.write_splits(records, labeling.splits(records.select("doc_id")), str(tmp_path / "splits"))
+    back = spark.read.json(str(tmp_path / "splits"))
+    assert {r.split: r["count"] for r in back.groupBy("split").count().collect()} == {"train": 14, "val": 3, "test": 3}
+    assert back.select("doc_id").distinct().count() == 20
+    made = generator.generate(spark.range(10), "id")
+    counts = {r.label: r.n for r in jsonl.write_dataset(made, str(tmp_path / "set")).withColumnRenamed("count(1)", "n").collect()}
+    read = jsonl.read(spark, str(tmp_path / "set/annotations.jsonl"), jsonl.ANNOTATION)
+    assert {r.label: r["count"] for r in read.select(F.explode("entities").alias("e")).groupBy("e.label").count().collect()} == counts
+    assert jsonl.read(spark, str(tmp_path / "set/notes.jsonl")).where("text is not null").count() == 10
