@@ -75,5 +75,6 @@ def run(notes: DataFrame, **how: bool) -> DataFrame:
 
 def exploded(df: DataFrame, column: str, *fields: str) -> DataFrame:
     """A row for each element: ``doc_id``, its ``ord`` from 0 and the fields."""
-    each = df.select("doc_id", F.posexplode(column).alias("ord", "x"))
+    # else the filter for empty arrays, which the optimizer adds, would work the array out again
+    each = settled(df.select("doc_id", column)).select("doc_id", F.posexplode(column).alias("ord", "x"))
     return each.select("doc_id", "ord", *[F.col(f"x.{f}").alias(f) for f in fields])

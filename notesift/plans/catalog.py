@@ -69,13 +69,13 @@ def section_name_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def section_map(spark: SparkSession, sf: str) -> DataFrame:
-    found = notes(spark, sf).select("doc_id", clean.detect_sections(F.col("text")).alias("s"))
+    found = path.settled(notes(spark, sf).select("doc_id", clean.detect_sections(F.col("text")).alias("s")))
     return found.select("doc_id", F.explode(clean.section_map(F.col("s"))).alias("name", "text"))
 
 
 @query
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    found = notes(spark, sf).select("doc_id", clean.split_sentences(F.col("text")).alias("s"))
+    found = path.settled(notes(spark, sf).select("doc_id", clean.split_sentences(F.col("text")).alias("s")))
     return found.select("doc_id", F.posexplode("s").alias("ord", "sentence"))
 
 
