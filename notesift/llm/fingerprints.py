@@ -11,8 +11,9 @@ others are decomposed, their marks ordered and then composed again, by tables
 that are built from the Unicode data of Python when the plan is made.
 
 Defined results: a null text counts as empty; empty texts share a fingerprint;
-null ids come last in the order of documents; repeated rows each get their own
-result, ordered by their texts; an empty table gives no rows. Columns other than
+null ids come last in the order of documents; rows that share an id, or have none,
+are ordered by a hash of their texts, then by these; repeated rows each get their
+own result; an empty table gives no rows. Columns other than
 the id and the text are not read.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from notesift.llm.common import discard, stored
 
-#: Ids in a bucket of the order, if they are dense.
+#: Rows in a range of the order, about.
 SPAN = 4096
 #: Rows of two numbers that are broadcast at most.
 SMALL = 1_000_000
@@ -158,6 +159,28 @@ def groups(docs: DataFrame, **cols: str) -> DataFrame:
     return rows.join(rows.groupBy("fingerprint").agg(F.min("id").alias("first")), "fingerprint").select("id", "fingerprint", "first")
 
 
+def ranges(rows: DataFrame) -> Column:
+    """A number for each row of ``rows`` (``id``, ``tie``) that rises with the id and has about SPAN rows; below zero, by ``tie``, for null ids.
+
+    Quantiles of the ids cut them into a few hundred intervals, and each interval
+    into equal parts, all in floating point: ids may be sparse or at the ends of
+    their type, and outliers stretch the outermost intervals only.
+    """
+    n, nulls = rows.agg(F.count("id"), F.count_if(F.col("id").isNull())).first()
+    value = F.col("id").cast("double")
+    ends = [10.0**-k for k in range(3, 8)]
+    shares = sorted({0.0, 1.0, *(k / 256 for k in range(1, 256)), *ends, *(1 - x for x in ends)})
+    cuts = sorted(set(rows.where("id is not null").select(value.alias("v")).approxQuantile("v", shares, 1e-4))) if n > SPAN else []
+    parts = max(1, n // (SPAN * max(1, len(cuts))))
+    edge = F.array(*[F.lit(x) for x in cuts]) if cuts else F.array().cast("array<double>")
+    which = F.size(F.filter(edge, lambda x: x <= value))
+    low, high = F.get(edge, which - 1), F.get(edge, which)
+    inside = F.least(F.lit(parts - 1), F.floor((value - low) / (high - low) * parts))
+    null_parts = nulls // SPAN + 1
+    by_tie = F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * null_parts)
+    return F.when(F.col("id").isNull(), -1 - by_tie).otherwise(which.cast("long") * parts + F.coalesce(inside, F.lit(0))).cast("long")
+
+
 def with_next(docs: DataFrame, **cols: str) -> tuple[DataFrame, Window]:
     """``id``, ``text`` and ``next``, the text of the document after it in descending order of ids (of the last: the first's).
 
@@ -165,30 +188,30 @@ def with_next(docs: DataFrame, **cols: str) -> tuple[DataFrame, Window]:
     to the range before it as well. Also returns the window, for more columns of
     the next row without another exchange.
     """
-    rows = source(docs, **cols)
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("id")).first()
-    span = max(SPAN, -(-((high or 0) - (low or 0) + 1) * SPAN // max(n, 1)))
-    bucket = F.coalesce(F.floor((F.col("id") - F.lit(low or 0)) / F.lit(span)).cast("long"), F.lit(-1))
-    rows = rows.withColumn("bucket", bucket)
-    heads = rows.groupBy("bucket").agg(F.max("id").alias("head"))
+    rows = source(docs, **cols).withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("bucket", ranges(rows))
+    # the complement of the hash falls as it rises, so the greatest has the least of it
+    heads = rows.groupBy("bucket").agg(F.max(F.struct("id", F.bitwise_not("tie").alias("tie"))).alias("head"))
     across = Window.orderBy(F.desc("bucket"))  # a row for each range of SPAN ids
     heads = heads.withColumn("above", F.lag("bucket").over(across))
     heads, _ = stored(heads, "heads")
     n_heads = heads.count()
     last = heads.agg(F.min("bucket")).first()[0]
-    heads = heads.select(F.col("head").alias("id"), F.coalesce("above", F.lit(last)).alias("above"), F.lit(True).alias("is_head"))
+    heads = heads.select("bucket", F.col("head.id").alias("id"), F.bitwise_not("head.tie").alias("tie"), F.coalesce("above", F.lit(last)).alias("above"))
     side = F.broadcast(heads) if n_heads <= SMALL else heads
-    both = rows.alias("r").join(side.alias("h"), F.expr("r.id <=> h.id"), "left").select("r.id", "r.text", "r.bucket", "h.above")
+    same = F.expr("r.bucket = h.bucket and r.tie = h.tie and r.id <=> h.id")
+    both = rows.alias("r").join(side.alias("h"), same, "left").select("r.id", "r.text", "r.tie", "r.bucket", "h.above")
     dealt = both.select(
         "id",
         "text",
+        "tie",
         F.explode(
             F.when(F.col("above").isNull(), F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")))).otherwise(
                 F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.struct(F.col("above").alias("bucket"), F.lit(1).alias("guest")))
             )
         ).alias("at"),
-    ).select("id", "text", "at.bucket", "at.guest")
-    window = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("id"), "text")
+    ).select("id", "text", "tie", "at.bucket", "at.guest")
+    window = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("id"), "tie", "text")
     return dealt.withColumn("next", F.lead("text").over(window)), window
 
 

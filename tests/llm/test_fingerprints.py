@@ -1,8 +1,10 @@
 import hashlib
 import random
 import unicodedata
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from notesift.llm import fingerprints
@@ -36,8 +38,13 @@ DOCS = [
 ]
 
 
+def tie(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute(rows):
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1]), r[1]))
     out = []
     for k, (i, t) in enumerate(rows):
         after, third = rows[(k + 1) % len(rows)][1], len(t) // 3
@@ -58,6 +65,36 @@ def test_edited_against_brute_force(spark, rows):
     assert len(texts) == len({folded(t) for _, t in rows})
 
 
+HASHED = [random.Random(k).randrange(-(2**63), 2**63) for k in range(300)]
+IDS = {
+    "far apart": [1, 2**60],
+    "ends": [-(2**63), 2**63 - 1, 0],
+    "hashed": HASHED,
+    "outlier": [*range(200), 2**62],
+    "outliers": [-(2**63), *range(1000, 1200), 2**63 - 1, 2**63 - 2],
+    "no ids": [None] * 150 + [3, 4],
+    "one id": [7] * 100 + [8, 6, None],
+    "alike as floats": [2**62 + k for k in range(120)],
+}
+
+
+@pytest.mark.parametrize("ids", IDS.values(), ids=IDS.keys())
+def test_any_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprints, "SPAN", 10)
+    rows = [(i, f"text {k % 41} " + "x" * (k % 7)) for k, i in enumerate(ids)]
+    got = fingerprints.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([(r.id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got], key=str) == brute(rows)
+
+
+def test_ranges_rise_and_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "SPAN", 10)
+    for ids in (HASHED, IDS["outlier"], [None] * 300):
+        rows = spark.createDataFrame([(i, k * 2**55 - 2**62) for k, i in enumerate(ids)], "id long, tie long")
+        got = sorted((r.id or 0, r.b) for r in rows.select("id", fingerprints.ranges(rows).alias("b")).collect())
+        assert ids[0] is None or [b for _, b in got] == sorted(b for _, b in got)
+        assert max(Counter(b for _, b in got).values()) <= 40
+
+
 def test_unequal_texts_in_a_bucket_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "digest", lambda text: F.lpad(F.length(text).cast("string"), 32, "0"))
     rows = [(1, "aaa"), (2, "bbb"), (3, "AAA"), (4, "cc"), (5, None)]
