@@ -8,7 +8,7 @@ exactly, or length-prefixed SSH fields. Base spans that parse are also listed as
 confirmed.
 
 Defined results: a null or empty text has no spans; a null id is kept; repeated
-rows are scanned each by itself; texts are scanned whole, whatever their length;
+rows are scanned each by itself; texts are scanned whole, in time that follows their length;
 an empty table gives no rows. Columns other than the id and the text are not read.
 """
 
@@ -19,6 +19,8 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,9 +35,14 @@ ASSIGN = re.compile(rb"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:
 # runs are greedy, so a least length in the pattern drops the same matches as a test afterwards
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(rb"[0-9a-f]{16,}")
-TOKEN = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
+DOTTED = re.compile(rb"[A-Za-z0-9_.-]+")
+BEGIN = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+END = re.compile(rb"-----END ([A-Z0-9 ]*PRIVATE KEY)-----")
 RUN = re.compile(rb"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Runs that go on in the next lines, which may be written as escapes; tried from the beginning of a run only.
+BREAK = re.compile(rb"[ \t]*(?:\\r)?(?:\r?\n|\\n)[ \t]*")
+WRAPPED = re.compile(rb"(?:(?<=\\n)|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]{40,}+(?:[ \t]*(?:\\r)?(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/_-]{4,}+)++={0,2}")
+SSH_MAGIC = b"openssh-key-v1\0"
 ANY_HEX = re.compile(rb"[0-9A-Fa-f]+\Z")
 
 
@@ -83,17 +90,33 @@ def is_der_key(data: bytes) -> bool:
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields that fill the data, the first an algorithm's name; or the private container."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+    """Length-prefixed fields that fill the data, the first an algorithm's name; or the private container of such keys."""
+    if data.startswith(SSH_MAGIC):
+        return is_ssh_container(data)
+    fields, at = ssh_fields(data, 0, None)
+    return at == len(data) and len(fields) > 1 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
+
+
+def ssh_fields(data: bytes, at: int, most: int | None) -> tuple[list[bytes], int]:
+    """Fields from ``at`` on, ``most`` of them if given, and where they end (-1 if one doesn't fit)."""
+    fields: list[bytes] = []
+    while at + 4 <= len(data) and (most is None or len(fields) < most):
         size = int.from_bytes(data[at : at + 4], "big")
         if size > len(data) - at - 4:
-            return False
+            return fields, -1
         fields.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return at == len(data) and len(fields) > 1 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
+    return fields, at
+
+
+def is_ssh_container(data: bytes) -> bool:
+    """Names of cipher and key derivation, its options, a number of keys, so many public keys, and a private part that fills the rest."""
+    names, at = ssh_fields(data, len(SSH_MAGIC), 3)
+    if len(names) < 3 or at < 0 or not all(re.fullmatch(rb"[a-z0-9@.-]+", x) for x in names[:2]):
+        return False
+    n = int.from_bytes(data[at : at + 4], "big")
+    keys, at = ssh_fields(data, at + 4, n + 1) if 0 < n < 64 else ([], -1)
+    return at == len(data) and len(keys) == n + 1 and len(keys[n]) >= 8 and all(is_ssh_key(k) for k in keys[:n])
 
 
 def is_signed_token(data: bytes) -> bool:
@@ -115,6 +138,54 @@ def key_kind(data: bytes) -> str | None:
     return None
 
 
+def signed_tokens(data: bytes) -> Iterator[tuple[int, int]]:
+    """Places of three parts between dots of which the first two parse; each run is split once."""
+    for run in DOTTED.finditer(data):
+        if b"eyJ" not in run[0]:
+            continue
+        parts, at, k = run[0].split(b"."), [run.start()], 0
+        for part in parts:
+            at.append(at[-1] + len(part) + 1)
+        while k + 2 < len(parts):
+            head = parts[k].find(b"eyJ")
+            if head >= 0 and parts[k + 1] and is_signed_token(parts[k][head:] + b"." + parts[k + 1]):
+                yield at[k] + head, at[k + 3] - 1
+                k += 3
+            else:
+                k += 1
+
+
+def armoured(data: bytes) -> Iterator[tuple[int, int]]:
+    """Places of armoured private keys whose body parses: from a BEGIN to the next END of its kind, if no other BEGIN stands between."""
+    ends, begins = defaultdict(list), defaultdict(list)
+    for m in END.finditer(data):
+        ends[m[1]].append(m.span())
+    for m in BEGIN.finditer(data):
+        begins[m[1]].append(m.span())
+    for kind, some in begins.items():
+        for k, (start, body) in enumerate(some):
+            after = bisect_left(ends[kind], (body, 0))
+            if after == len(ends[kind]) or (k + 1 < len(some) and some[k + 1][0] < ends[kind][after][0]):
+                continue
+            lines = data[body : ends[kind][after][0]].replace(b"\\r", b"").replace(b"\\n", b"\n").split()
+            raw = unbase64(b"".join(x for x in lines if b":" not in x))
+            if raw and (is_der_key(raw) or is_ssh_key(raw)):
+                yield start, ends[kind][after][1]
+
+
+def key_runs(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """Kinds and places of runs that decode to keys: over several lines (but for the last, which may be other text), else each by itself."""
+    for start, end in [m.span() for m in WRAPPED.finditer(data)]:
+        cuts = [m.span() for m in BREAK.finditer(data, start, end)]
+        for stop in dict.fromkeys((end, cuts[-1][0])):
+            if kind := key_kind(BREAK.sub(b"", data[start:stop])):
+                yield kind, start, stop
+                break
+    for m in RUN.finditer(data):
+        if kind := key_kind(m[0]):
+            yield kind, *m.span()
+
+
 def scan(text: str | None) -> list[tuple[str, int, int, bool]]:
     """Spans ``(kind, start, end, confirmed)`` in code points, by start and then by kind."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -137,19 +208,14 @@ def scan(text: str | None) -> list[tuple[str, int, int, bool]]:
     found += [("hex", *m.span(), key_kind(m[0]) is not None) for m in HEX.finditer(data)]
 
     if b"eyJ" in data:
-        found += [("signed_token", *m.span(), True) for m in TOKEN.finditer(data) if is_signed_token(m[0])]
-    blocks = []
-    if b"PRIVATE KEY-----" in data:
-        for m in PEM.finditer(data):
-            body = b"".join(x for x in m[2].split() if b":" not in x)
-            raw = unbase64(body)
-            if raw and (is_der_key(raw) or is_ssh_key(raw)):
-                blocks.append(m.span())
-                found.append(("private_key", *m.span(), True))
+        found += [("signed_token", a, b, True) for a, b in signed_tokens(data)]
+    blocks = sorted(armoured(data)) if b"PRIVATE KEY-----" in data else []
+    found += [("private_key", a, b, True) for a, b in blocks]
     if max(map(len, data.split()), default=0) >= 40:
-        for m in RUN.finditer(data):
-            if not any(a <= m.start() < b for a, b in blocks) and (kind := key_kind(m[0])):
-                found.append((kind, *m.span(), True))
+        for kind, a, b in dict.fromkeys(key_runs(data)):
+            k = bisect_right(blocks, (a, len(data))) - 1
+            if k < 0 or a >= blocks[k][1]:
+                found.append((kind, a, b, True))
 
     if len(data) != len(text or ""):  # code points, counted from one place to the next
         places, at, n, by = sorted({x for f in found for x in f[1:3]}), 0, 0, {}
