@@ -4,8 +4,11 @@ Events of the standard library's parser are turned into lines (a line for each
 block of text) as they arrive. Each line has a text-to-tag ratio; the ratios are
 smoothed with a Gaussian, and lines above their standard deviation form the
 content cluster. The region is the innermost element that holds most of the
-cluster's text, and all of its lines are kept, short ones too, except those in
-elements that are menus, adverts, forms and the like by their tag, role or class.
+cluster's text (of those that do, an article or main element before others), so
+that several articles side by side are one region. All of its lines are kept,
+short ones too, except those in elements that are menus, adverts, forms and the
+like by their tag, role or class; where a class may also name a part of an article,
+the cluster decides.
 
 Defined results: a null or empty page, or one without text, gives an empty
 string; null ids and urls are kept; repeated rows are extracted each by itself;
@@ -16,7 +19,7 @@ length or depth; an empty table gives no rows. Only the named columns are read.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -39,13 +42,17 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion promoted adsense banner banners "
     "nav navbar navigation menu menus menubar breadcrumb breadcrumbs pagination pager toc "
-    "sidebar sidebars aside rail widget widgets header masthead footer colophon copyright "
-    "comment comments commentlist disqus replies reply respond discussion reactions "
+    "sidebar sidebars aside rail widget widgets masthead footer colophon copyright "
+    "comment comments commentlist disqus replies reply respond "
     "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login paywall disclaimer "
     "share sharing social related recommended recommendations trending popular tags taglist byline skip hidden".split()
 )
+#: Words that may mark a part of the article as well: its lines stay if they are in the cluster.
+DOUBTFUL = frozenset("header discussion reactions".split())
 #: What a start tag closes, if one is open nearer than the given scope.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+#: Elements that a region may be, besides the whole page.
+REGIONS = BLOCK - frozenset("p li td th tr h1 h2 h3 h4 h5 h6 pre blockquote".split())
 P_SCOPE = BLOCK - {"p"}
 WORDS = re.compile(r"[a-z]+")
 
@@ -58,15 +65,16 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, int, bool]] = []  # tag, element number, dropped
         self.parents: list[int] = [-1]  # by element number; 0 is the page
         self.names: list[str] = [""]
+        self.doubtful: list[bool] = [False]
+        self.open: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag
+        self.blocks: list[int] = []  # of block elements
+        self.walls: list[int] = []  # of those that an inline end tag doesn't reach beyond
         self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, link characters, element, dropped
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
 
     def _where(self) -> tuple[int, bool]:
-        for tag, k, dropped in reversed(self.stack):
-            if tag in BLOCK:
-                return k, dropped or self.stack[-1][2]
-        return 0, bool(self.stack) and self.stack[-1][2]
+        return self.stack[self.blocks[-1]][1] if self.blocks else 0, bool(self.stack) and self.stack[-1][2]
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -78,10 +86,17 @@ class Lines(HTMLParser):
     def _pop_to(self, k: int) -> None:
         for tag, _, _ in self.stack[k:]:
             self.links -= tag == "a"
+            self.open[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+                if tag != "p":
+                    self.walls.pop()
         del self.stack[k:]
 
     def _close(self, tags: set[str], scope: frozenset | set[str]) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
+        if not any(self.open[t] for t in tags):
+            return
+        for k in reversed(self.blocks):
             if self.stack[k][0] in tags:
                 self.flush()
                 self._pop_to(k)
@@ -110,7 +125,7 @@ class Lines(HTMLParser):
         dropped = (
             above
             or tag in DROPPED
-            or (tag == "header" and not any(t == "article" for t, _, _ in self.stack))
+            or (tag == "header" and not self.open["article"])
             or (known.get("role") or "").lower() in ROLES
             or "hidden" in known
             or known.get("aria-hidden") == "true"
@@ -123,6 +138,12 @@ class Lines(HTMLParser):
         parent = self.stack[-1][1] if self.stack else 0
         self.parents.append(parent)
         self.names.append(tag)
+        self.doubtful.append(self.doubtful[parent] or not DOUBTFUL.isdisjoint(marked))
+        self.open[tag].append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+            if tag != "p":
+                self.walls.append(len(self.stack))
         self.stack.append((tag, len(self.parents) - 1, dropped))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -130,15 +151,14 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                if tag in BLOCK or self.stack[k][2] != (self.stack[k - 1][2] if k else False):
-                    self.flush()
-                self._pop_to(k)
-                return
-            if tag not in BLOCK and self.stack[k][0] in BLOCK and self.stack[k][0] != "p":
-                return  # a stray inline end tag doesn't close blocks
-        if tag in BLOCK:
+        k = self.open[tag][-1] if self.open[tag] else -1
+        if tag not in BLOCK and self.walls and k < self.walls[-1]:
+            return  # a stray inline end tag doesn't close blocks
+        if k >= 0:
+            if tag in BLOCK or self.stack[k][2] != (self.stack[k - 1][2] if k else False):
+                self.flush()
+            self._pop_to(k)
+        elif tag in BLOCK:
             self.flush()
 
     def handle_data(self, data: str) -> None:
@@ -168,7 +188,7 @@ def extract(html: str | None, share: float = 0.7) -> str:
         return ""
     smooth = smoothed(np.array([len(x[0]) / max(1, x[1]) for x in lines]))
     cluster = smooth >= min(smooth.std(), smooth.max())
-    kept = [not x[4] for x in lines]
+    kept = [not x[4] and (bool(c) or not parser.doubtful[x[3]]) for x, c in zip(lines, cluster, strict=True)]
     if not any(c and k for c, k in zip(cluster, kept, strict=True)):
         cluster = np.ones(len(lines), dtype=bool)  # the cluster is all boilerplate, so what else there is counts
 
@@ -179,16 +199,10 @@ def extract(html: str | None, share: float = 0.7) -> str:
             mass[at] += max(0, len(text) - linked)
     for k in range(len(mass) - 1, 0, -1):
         mass[parser.parents[k]] += mass[k]
-    named = [k for k, tag in enumerate(parser.names) if tag in ("article", "main") and mass[k]]
-    total = mass[0]
-    if named:
-        region = max(named, key=lambda k: (mass[k], parser.names[k] == "article", k))
-    else:
-        region = 0
-        for k in range(1, len(mass)):
-            if mass[k] >= share * total > 0 and _within(parser.parents, k, region):
-                if parser.names[k] in BLOCK and parser.names[k] not in ("p", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"):
-                    region = k
+    # of elements that hold most of the cluster each lies in the one before
+    most = [k for k in range(len(mass)) if mass[k] >= share * mass[0] > 0]
+    named = [k for k in most if parser.names[k] in ("article", "main")]
+    region = named[-1] if named else max((k for k in most if parser.names[k] in REGIONS), default=0)
     inside = [False] * len(mass)
     inside[region] = True
     for k in range(1, len(mass)):
@@ -207,12 +221,6 @@ def extract(html: str | None, share: float = 0.7) -> str:
     return "\n".join(out)
 
 
-def _within(parents: list[int], k: int, top: int) -> bool:
-    while k > top:
-        k = parents[k]
-    return k == top
-
-
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id``, ``url`` and ``text`` of every page."""
 
