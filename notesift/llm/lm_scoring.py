@@ -9,7 +9,7 @@ Kneser-Ney), apart for each power of two of the state's count, so that states
 whose successors never recur leave their mass to the unigrams.
 
 The corpus is counted in two steps that no single task or driver has to hold:
-documents are dealt into batches by their ids; a batch sends each shard (a range
+documents are dealt into batches by ids and texts; a batch sends each shard (a range
 of word hashes) its distinct words and successors with their counts, once; the
 shard adds them up and sends back the totals for what the batch had asked, in
 the same order. A batch then has the part of the automaton that its own texts
@@ -206,7 +206,8 @@ def scored(docs: DataFrame, fold: int = 7, rest: int = 2, id_col: str = "doc_id"
     chars = source.agg(F.sum(F.length("text") + 8)).first()[0] or 0
     batches = int(chars // BATCH) + 1
     shards = batches
-    dealt = source.withColumn("batch", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(batches)).cast("int"))
+    # by the text too, so that rows without an id are spread out
+    dealt = source.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int"))
 
     def learn(ids: list[int | None]) -> list[bool]:
         return [not is_held_out(k, fold, rest) for k in ids]
