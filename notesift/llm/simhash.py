@@ -15,7 +15,7 @@ text are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations, repeat
 
 import numpy as np
@@ -133,22 +133,27 @@ def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def forest(fps: np.ndarray, refs: np.ndarray, radius: int, small: int = 256, block: int = 64) -> np.ndarray:
-    """Edges (index pairs) that span the components of one bucket, at most one for each member.
+    """Edges (index pairs) that span the components of one bucket, at most one for each member."""
+    table = distances(fps, refs)
+    return spanned(len(fps), lambda a, b: _near(fps[a], table[a], fps[b], table[b], radius), small, block)
+
+
+def spanned(n: int, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], small: int = 256, block: int = 64) -> np.ndarray:
+    """Edges that span the components of ``n`` members; ``near`` gives the pairs between two arrays of members, by place in them.
 
     In a large bucket, what a search from one member finds leaves the unvisited
     rest, so a dense group costs about its size rather than its square.
     """
-    table = distances(fps, refs)
-    if len(fps) <= small:
-        i, j = _near(fps, table, fps, table, radius)
+    rest, edges = np.arange(n), []
+    if n <= small:
+        i, j = near(rest, rest)
         keep = i < j
-        return _stars(len(fps), i[keep], j[keep])
-    rest, edges = np.arange(len(fps)), []
+        return _stars(n, i[keep], j[keep])
     while len(rest) > 1:
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
             some, front = front[:block], front[block:]
-            i, j = _near(fps[some], table[some], fps[rest], table[rest], radius)
+            i, j = near(some, rest)
             j, first = np.unique(j, return_index=True)
             edges.append(np.stack([some[i[first]], rest[j]], axis=1))
             front = np.concatenate([front, rest[j]])
@@ -216,20 +221,20 @@ def bucketed(fps: DataFrame, masks: np.ndarray) -> DataFrame:
     return fps.select("node", "fp").mapInArrow(run, "key long, node long, fp binary")
 
 
-def split_hot(rows: DataFrame) -> DataFrame:
+def split_hot(rows: DataFrame, columns: Sequence[str] = ("fp",)) -> DataFrame:
     """Adds ``p`` and ``q``: buckets over BUCKET members are dealt into parts, and every pair of parts meets."""
     hot = rows.groupBy("key").count().where(F.col("count") > BUCKET).select("key", F.ceil(F.col("count") / BUCKET).cast("int").alias("parts"))
     hot, _ = stored(hot, "hot-buckets")
     n = hot.count()
     if not n:
-        return rows.select("key", F.lit(0).alias("p"), F.lit(0).alias("q"), "node", "fp")
+        return rows.select("key", F.lit(0).alias("p"), F.lit(0).alias("q"), "node", *columns)
     side = F.broadcast(hot) if n <= 100_000 else hot
-    own = F.pmod(F.xxhash64("node", "fp"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("node", *columns), F.col("parts")).cast("int")
     return (
         rows.join(side, "key", "left")
         .withColumn("own", F.coalesce(own, F.lit(0)))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
-        .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "fp")
+        .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", *columns)
     )
 
 
@@ -239,18 +244,36 @@ def bucket_edges(rows: DataFrame, width: int, radius: int) -> DataFrame:
     return bucket_pairs(rows, lambda fps: forest(_matrix(fps, width), refs, radius))
 
 
-def bucket_pairs(rows: DataFrame, find: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
-    """Pairs (``a``, ``b``) of what ``find`` gives as index pairs for the ``fp`` of each bucket."""
+#: Members of buckets whose pairs are all compared at once.
+LITTLE = 32
+
+
+def bucket_pairs(rows: DataFrame, find: Callable[..., np.ndarray], columns: Sequence[str] = ("fp",), near: Callable[..., np.ndarray] | None = None) -> DataFrame:
+    """Pairs (``a``, ``b``) of what ``find`` gives as index pairs for the ``columns`` of each bucket (lists of bytes, or arrays of numbers).
+
+    With ``near``, which says of the cells of first and second members whether they
+    make a pair, the pairs of all buckets of LITTLE members at most are tested together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def solved(key: np.ndarray, node: np.ndarray, fp: list[bytes]) -> pa.RecordBatch | None:
+        def solved(key: np.ndarray, node: np.ndarray, *cells: list[bytes] | np.ndarray) -> pa.RecordBatch | None:
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            found = []
-            for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]]), strict=True):
+            begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
+            found, size = [], ends - begins
+            if near is not None:
+                few = (size > 1) & (size <= LITTLE)
+                last = np.repeat(np.where(few, ends, begins + 1), size)  # what isn't in a small bucket has no partner
+                partners = np.maximum(last - np.arange(len(key)) - 1, 0)
+                i = np.repeat(np.arange(len(key)), partners)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(partners) - partners, partners)
+                hit = near(*[c[i] for c in cells], *[c[j] for c in cells])
+                found.append(np.stack([node[i[hit]], node[j[hit]]], axis=1))
+                begins, ends = begins[size > LITTLE], ends[size > LITTLE]
+            for a, b in zip(begins, ends, strict=True):
                 if b - a > 1:
-                    got = find(fp[a:b])
+                    got = find(*[c[a:b] for c in cells])
                     if len(got):
                         found.append(node[a:b][got])
             if not found:
@@ -258,10 +281,11 @@ def bucket_pairs(rows: DataFrame, find: Callable[[list[bytes]], np.ndarray]) ->
             pairs = np.concatenate(found)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        def arrays(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        def arrays(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, *tuple[list[bytes] | np.ndarray, ...]]:
             t = pa.Table.from_batches(parts)
             key = np.stack([t.column(k).to_numpy() for k in range(3)], axis=1)
-            return key, t.column(3).to_numpy(), t.column(4).to_pylist()
+            cells = [t.column(k) for k in range(4, t.num_columns)]
+            return key, t.column(3).to_numpy(), *[c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in cells]
 
         for batch in batches:
             if not batch.num_rows:
@@ -270,16 +294,16 @@ def bucket_pairs(rows: DataFrame, find: Callable[[list[bytes]], np.ndarray]) ->
             first = [held[0].column(k)[0].as_py() for k in range(3)]
             if first == [batch.column(k)[batch.num_rows - 1].as_py() for k in range(3)]:
                 continue  # one bucket so far
-            key, node, fp = arrays(held)
+            key, node, *cells = arrays(held)
             last = np.flatnonzero((key != key[-1]).any(axis=1))[-1] + 1
             held = [batch.slice(batch.num_rows - (len(key) - last))]
-            if (out := solved(key[:last], node[:last], fp[:last])) is not None:
+            if (out := solved(key[:last], node[:last], *[c[:last] for c in cells])) is not None:
                 yield out
         if held and (out := solved(*arrays(held))) is not None:
             yield out
 
     dealt = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return dealt.select("key", "p", "q", "node", "fp").mapInArrow(run, "a long, b long")
+    return dealt.select("key", "p", "q", "node", *columns).mapInArrow(run, "a long, b long")
 
 
 def components(prints: DataFrame, radius: int = 4, width: int = 1) -> DataFrame:
