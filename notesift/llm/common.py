@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,41 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def word_lists(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words (`[^\\x20\\x09-\\x0D]+`) of ``text`` in order, those of about ``size`` bytes at a time."""
+    at = 0
+    while at < len(text):
+        end = min(at + size, len(text))
+        while end < len(text) and text[end] not in b" \t\n\v\f\r":
+            end += 1
+        yield text[at:end].split()
+        at = end
+
+
+#: Rows of a key that are joined in one task; more are dealt into parts.
+HOT = 1 << 14
+
+
+def joined_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", limit: int | None = None) -> DataFrame:
+    """``rows`` joined with ``side`` on ``key``, where a key of ``rows`` may hold a large share of them and ``side`` has few rows for it.
+
+    Keys of over ``limit`` rows are dealt into parts by a hash of their rows, and
+    the rows of ``side`` are copied for each part.
+    """
+    limit = limit or HOT
+    hot = rows.groupBy(key).count().where(F.col("count") > limit).select(F.col(key), F.ceil(F.col("count") / limit).cast("int").alias("parts"))
+    hot, path = stored(hot, "hot-keys")
+    n = hot.count()
+    if not n:
+        discard(rows.sparkSession, path)
+        return rows.join(side, key, how)
+    hot = F.broadcast(hot) if n <= 100_000 else hot
+    part = F.pmod(F.xxhash64(*rows.columns), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = rows.join(hot, key, "left").withColumn("part", part).drop("parts")
+    copies = side.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
+    return dealt.join(copies, [key, "part"], how).drop("part")
+
+
 def unused(name: str, df: DataFrame) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
