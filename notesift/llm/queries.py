@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notesift.llm import decontamination, fill_in_middle, fingerprints, line_dedup, lm_scoring, main_text, packing, quality, secret_scan, simhash, toxicity, training
+from notesift.llm import decontamination, fill_in_middle, filter_audit, fingerprints, line_dedup, lm_scoring, main_text, packing, quality, secret_scan, simhash, toxicity, training
 from notesift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,37 @@ select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_c
   sha256(text) as restored_sha256
 from parts
 """
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE_SQL["op11_filter_audit"] = r"""
+with texts as (
+  select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), failed as (
+  select doc_id, part,
+    [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+     regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by t), false)] as f from texts
+), known as (
+  select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1
+), cells as (
+  select part, f, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from failed left join known using (doc_id) group by all
+), ks as (select unnest([1, 2, 3, 4, 5]) as k),
+orders as (
+  select [a.k, b.k, c.k, d.k, e.k] as o from ks a, ks b, ks c, ks d, ks e where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), steps as (
+  select o, array_to_string(list_transform(o, lambda x: chr(64 + x)), '') as filter_order, s.k as step, o[s.k] as own, o[1:s.k - 1] as before from orders, ks s
+), judged as (
+  select *, f[own] as fails, len(list_filter(before, lambda x: f[x])) > 0 as earlier, len(list_filter(f, lambda x: x)) as fs from cells, steps
+), summed as (
+  select part, filter_order, step, own,
+    sum(case when fails or earlier then 0 else n end) as kept, sum(case when fails and not earlier then n else 0 end) as removed, sum(case when fails and earlier then n else 0 end) as redundant,
+    sum(case when fails and fs = 1 then n else 0 end) as unique_fails, sum(case when fails and not earlier then good else 0 end) as good_lost, sum(case when fails and not earlier then toxic else 0 end) as toxic_lost
+  from judged group by all
+)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from summed
+"""
