@@ -67,23 +67,24 @@ def word_lists(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
 HOT = 1 << 14
 
 
-def joined_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", limit: int | None = None) -> DataFrame:
+def joined_hot(rows: DataFrame, side: DataFrame, key: str, spread: list[str], how: str = "inner", counts: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """``rows`` joined with ``side`` on ``key``, where a key of ``rows`` may hold a large share of them and ``side`` has few rows for it.
 
-    Keys of over ``limit`` rows are dealt into parts by a hash of their rows, and
-    the rows of ``side`` are copied for each part.
+    Keys of over ``limit`` rows, by ``counts`` (the key and ``count``) if given, are
+    dealt into parts by a hash of the columns ``spread``, and the rows of ``side``
+    are copied for each part.
     """
     limit = limit or HOT
-    hot = rows.groupBy(key).count().where(F.col("count") > limit).select(F.col(key), F.ceil(F.col("count") / limit).cast("int").alias("parts"))
+    hot = (counts or rows.groupBy(key).count()).where(F.col("count") > limit).select(F.col(key), F.ceil(F.col("count") / limit).cast("int").alias("parts"))
     hot, path = stored(hot, "hot-keys")
     n = hot.count()
     if not n:
         discard(rows.sparkSession, path)
         return rows.join(side, key, how)
     hot = F.broadcast(hot) if n <= 100_000 else hot
-    part = F.pmod(F.xxhash64(*rows.columns), F.coalesce("parts", F.lit(1))).cast("int")
-    dealt = rows.join(hot, key, "left").withColumn("part", part).drop("parts")
-    copies = side.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("parts")
+    copies = side.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     return dealt.join(copies, [key, "part"], how).drop("part")
 
 

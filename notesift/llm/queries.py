@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notesift.llm import decontamination, fill_in_middle, filter_audit, fingerprints, line_dedup, lm_scoring, main_text, packing, quality, secret_scan, simhash, toxicity, training
+from notesift.llm import decontamination, fill_in_middle, filter_audit, fingerprints, line_dedup, lm_scoring, main_text, minhash, packing, quality, secret_scan, simhash, toxicity, training
 from notesift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,33 @@ orders as (
 select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
   cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from summed
 """
+
+
+@query
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+ORACLE_SQL["op12_minhash"] = r"""
+with recursive listed as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), words as (
+  select doc_id, len(w) as total, unnest(w) as w0, generate_subscripts(w, 1) as at from listed
+), runs as (
+  select doc_id, total, at, w0, lead(w0, 1) over o as w1, lead(w0, 2) over o as w2, lead(w0, 3) over o as w3 from words window o as (partition by doc_id order by at)
+), shingles as materialized (
+  select distinct doc_id, concat_ws(' ', w0, w1, w2, w3) as s from runs where at = 1 or at <= total - 3
+), sizes as materialized (
+  select doc_id, count(*) as n from shingles group by 1
+), common as (
+  select x.doc_id as a, y.doc_id as b, count(*) as c from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by all
+), links as materialized (
+  select a, b from common join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * c >= 80 * (p.n + q.n - c)
+), both as materialized (select a, b from links union select b, a from links),
+reach(node, root) as (
+  select doc_id, doc_id from documents union select b, root from reach join both on a = node
+)
+select d.doc_id, coalesce(max(n), 0) as n_shingles, min(root) as component_id, d.doc_id = min(root) as kept
+from documents d left join sizes using (doc_id) join reach on node = d.doc_id group by d.doc_id
+"""
