@@ -170,11 +170,11 @@ ORACLE_SQL["op12_minhash"] = r"""
 with recursive listed as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
 ), words as (
-  select doc_id, len(w) as total, unnest(w) as w0, generate_subscripts(w, 1) as at from listed
+  select doc_id, len(w) as total, unnest(w) as w0, generate_subscripts(w, 1) as pos from listed
 ), runs as (
-  select doc_id, total, at, w0, lead(w0, 1) over o as w1, lead(w0, 2) over o as w2, lead(w0, 3) over o as w3 from words window o as (partition by doc_id order by at)
+  select doc_id, total, pos, w0, lead(w0, 1) over o as w1, lead(w0, 2) over o as w2, lead(w0, 3) over o as w3 from words window o as (partition by doc_id order by pos)
 ), shingles as materialized (
-  select distinct doc_id, concat_ws(' ', w0, w1, w2, w3) as s from runs where at = 1 or at <= total - 3
+  select distinct doc_id, concat_ws(' ', w0, w1, w2, w3) as s from runs where pos = 1 or pos <= total - 3
 ), sizes as materialized (
   select doc_id, count(*) as n from shingles group by 1
 ), common as (
