@@ -7,9 +7,10 @@ any size have whole signatures. Bands of a signature are buckets. In a bucket al
 members are joined to its least one, and of these stars each document keeps the
 one it shares most buckets with, so candidates are no more than documents. They
 are confirmed on the full sets. Members of a bucket that are still in different
-groups are then compared by signature, the best few partners of each first, and
-more in further rounds until none is left out; so a failed link to the centre of
-a star loses no link to another member.
+groups are then compared by the least hashes of their sets, which are whole sets
+of moderate size; the best few partners of each are confirmed first, and more in
+further rounds until none is left out. So a failed link to the centre of a star
+loses no link to another member.
 
 Equal sets are one node, named by its least id. Shingles are told apart by 64 bits.
 
@@ -41,12 +42,10 @@ BINS = BANDS * ROWS
 #: Where each bin begins, and the order in which an empty one looks for a full one.
 EDGES = np.array([k * 2**64 // BINS for k in range(BINS)], dtype=np.uint64)
 WALKS = np.random.default_rng(SEED).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
-#: Bytes of a signature that members of a bucket are compared by, and how many must agree: four standard deviations under
-#: the mean of pairs at the threshold, also for small sets.
-SKETCH = 128
-AGREE = round(0.56 * SKETCH)
-#: Members of buckets that are compared all at once, and rows of a larger one compared at a time.
-LITTLE, BLOCK = 32, 64
+#: Least hashes by which members of a bucket are compared; sets up to this size are compared as a whole.
+LEAST = 256
+#: Of larger sets those pairs are confirmed that lie within so many standard deviations under the threshold.
+DEVIATIONS = 4
 
 
 def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
@@ -118,17 +117,20 @@ def banded(nodes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``node`` and ``set`` (sorted hashes) of the documents in ``ends``."""
+    """``node``, ``set`` (sorted hashes), its size ``n`` and ``least`` (upper halves of its least hashes) of the documents in ``ends``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_hashes(x.as_py(), words).tobytes() for x in some.column(1)], pa.binary())], ["node", "set"])
+                sets = [shingle_hashes(x.as_py(), words) for x in some.column(1)]
+                least = [(h[:LEAST] >> np.uint64(32)).astype(np.uint32).tobytes() for h in sets]
+                cells = [pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array(least, pa.binary())]
+                yield pa.RecordBatch.from_arrays([some.column(0), *cells], ["node", "n", "set", "least"])
 
     side = F.broadcast(ends) if ends.count() <= SMALL else ends
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).join(side, "node", "left_semi")
-    return stored(texts.mapInArrow(run, "node long, set binary"), "full-sets")[0]
+    return stored(texts.mapInArrow(run, "node long, n long, set binary, least binary"), "full-sets")[0]
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,35 +164,41 @@ def stars(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     return best.select((-F.col("best.hub")).alias("a"), F.col("node").alias("b"))
 
 
-def apart(members: DataFrame, most: int) -> DataFrame:
-    """Pairs (``a`` < ``b``) of members of one bucket that are in different groups and whose signatures agree.
-
-    In large buckets at most the ``most`` best partners of each; ``a`` = ``b`` says that
-    more were left out.
-    """
-
-    def agreeing(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        hit = [np.count_nonzero(sig[i[at : at + 65536]] == sig[j[at : at + 65536]], axis=1) >= AGREE for at in range(0, len(i), 65536)]
-        return np.concatenate(hit) if hit else np.empty(0, dtype=bool)
-
-    def large(node: np.ndarray, root: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
-        names, counts = np.unique(root, return_counts=True)
-        outside = np.flatnonzero(root != names[counts.argmax()])  # every pair of groups has one of these
-        lanes = np.ascontiguousarray(sig.T)
-        for at in range(0, len(outside), BLOCK):
-            some = outside[at : at + BLOCK]
-            same = np.zeros((len(some), len(node)), dtype=np.int16)
-            for lane in lanes:
-                same += lane[some][:, None] == lane[None, :]
-            same[root[some][:, None] == root[None, :]] = 0
-            for k, row in zip(some, same, strict=True):
-                near = np.flatnonzero(row >= AGREE)
-                if len(near) > most:
-                    near = near[np.lexsort((node[near], -row[near]))[:most]]
-                    yield np.array([[node[k], node[k]]])
-                yield np.stack([np.full(len(near), node[k]), node[near]], axis=1)
-
-    def solved(held: list[pa.RecordBatch], last: bool) -> tuple[np.ndarray, list[pa.RecordBatch]]:
+def partners(node: np.ndarray, root: np.ndarray, n: np.ndarray, least: list[bytes], percent: int, most: int) -> Iterator[np.ndarray]:
+    """Pairs of members of one bucket in different groups that may be alike, at most ``most`` for each; a pair of equals says that more were left out."""
+    names, counts = np.unique(root, return_counts=True)
+    if len(names) == 1:
+        return
+    values = [np.frombuffer(x, dtype=np.uint32) for x in least]
+    flat, length = np.concatenate(values), np.array([len(v) for v in values])
+    starts = np.cumsum(length) - length
+    _, ids = np.unique(flat, return_inverse=True)
+    # up to here all hashes of a set are known
+    reach = np.where(n <= length, 2**32, flat[starts + length - 1].astype(np.int64))
+    marked = np.zeros(len(flat), dtype=bool)
+    for k in np.flatnonzero(root != names[counts.argmax()]):  # every pair of groups has one of these
+        own = ids[starts[k] : starts[k] + length[k]]
+        marked[own] = True
+        cut = np.minimum(reach, reach[k])
+        inside = flat <= np.repeat(cut, length)
+        common = np.add.reduceat(marked[ids] & inside, starts, dtype=np.int64)
+        union = np.add.reduceat(inside, starts, dtype=np.int64) + np.searchsorted(values[k], cut, side="right") - common
+        marked[own] = False
+        slack = np.where((cut == 2**32), 1, DEVIATIONS * np.sqrt(percent * (100 - percent) * union) / 100)  # 1: for equal halves of hashes
+        near = np.flatnonzero((common + slack >= union * percent / 100) & (root != root[k]))
+        if len(near) > most:
+            near = near[np.lexsort((node[near], -common[near] / union[near]))]
+            _, first = np.unique(root[near], return_index=True)  # the best of each group, then the others
+            first = np.sort(first)
+            near = np.concatenate([near[first], np.delete(near, first)])[:most]
+            yield np.array([[node[k], node[k]]])
+        yield np.stack([np.full(len(near), node[k]), node[near]], axis=1)
+
+
+def apart(members: DataFrame, percent: int, most: int) -> DataFrame:
+    """Pairs (``a`` <= ``b``) of all buckets as ``partners`` gives them."""
+
+    def solved(held: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
         """Pairs of the buckets that are complete, and the rows of the one that isn't."""
         t = pa.Table.from_batches(held)
         key = np.stack([t.column(k).to_numpy() for k in range(3)], axis=1)
@@ -200,23 +208,12 @@ def apart(members: DataFrame, most: int) -> DataFrame:
         if not last:
             rest = t.slice(begins[-1]).to_batches()
             begins, ends = begins[:-1], ends[:-1]
-        if not len(begins):
-            return np.empty((0, 2), dtype=np.int64), rest
-        node, root = t.column(3).to_numpy(), t.column(4).to_numpy()
-        sig = np.frombuffer(b"".join(t.column(5).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
-        size = ends - begins
-        few = size <= LITTLE
-        end = np.repeat(np.where(few, ends, 0), size)
-        partners = np.maximum(end - np.arange(ends[-1]) - 1, 0)
-        i = np.repeat(np.arange(len(partners)), partners)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(partners) - partners, partners)
-        differ = root[i] != root[j]
-        i, j = i[differ], j[differ]
-        hit = agreeing(sig, i, j)
-        found = [np.stack([node[i[hit]], node[j[hit]]], axis=1)]
-        for a, b in zip(begins[~few], ends[~few], strict=True):
-            found.extend(large(node[a:b], root[a:b], sig[a:b]))
-        return np.concatenate(found), rest
+        node, root, n = (t.column(k).to_numpy() for k in (3, 4, 5))
+        least, found = t.column(6).to_pylist(), [np.empty((0, 2), dtype=np.int64)]
+        for a, b in zip(begins, ends, strict=True):
+            found.extend(partners(node[a:b], root[a:b], n[a:b], least[a:b], percent, most))
+        pairs = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"]), rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -226,31 +223,23 @@ def apart(members: DataFrame, most: int) -> DataFrame:
                 begin = [held[0].column(k)[0].as_py() for k in range(3)]
                 if begin != [batch.column(k)[batch.num_rows - 1].as_py() for k in range(3)]:
                     pairs, held = solved(held, False)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+                    yield pairs
         if held:
-            pairs, _ = solved(held, True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+            yield solved(held, True)[0]
 
-    dealt = split_hot(members, ("root", "sketch")).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return dealt.select("key", "p", "q", "node", "root", "sketch").mapInArrow(run, "a long, b long")
+    dealt = split_hot(members, ("root", "n", "least")).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return dealt.select("key", "p", "q", "node", "root", "n", "least").mapInArrow(run, "a long, b long")
 
 
-def unsettled(rows: DataFrame, buckets: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of buckets that hold several groups: ``key``, ``node``, ``root`` and ``sketch``."""
+def unsettled(rows: DataFrame, buckets: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of buckets that hold several groups: ``key``, ``node``, ``root``, ``n`` and ``least``."""
     root = F.coalesce("root", "node").alias("root")
     members, path = stored(rows.join(groups, "node", "left").select("key", "node", root), "members")
     mixed = members.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
     mixed, _ = stored(mixed, "mixed-buckets")
     sizes = buckets.join(mixed, "key").select("key", F.col("size").alias("count"))
     some = joined_hot(members, mixed, "key", ["node"], counts=sizes)
-    sketches = nodes.select("node", F.substring("sig", 1, 2 * SKETCH).alias("half"))
-
-    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8)[::2].reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in each], pa.binary())], ["node", "sketch"])
-
-    found, _ = stored(some.join(sketches.mapInArrow(low, "node long, sketch binary"), "node"), "unsettled")
+    found, _ = stored(some.join(sets.select("node", "n", "least"), "node"), "unsettled")
     discard(rows.sparkSession, path)
     return found
 
@@ -273,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = tested.where("alike").select("a", "b").union(_same_id(named, nodes))
     groups = connected(links, "set-groups")
     while True:
-        found, _ = stored(apart(unsettled(shared, buckets, nodes, groups), most).distinct(), "pairs-apart")
+        found, _ = stored(apart(unsettled(shared, buckets, sets, groups), percent, most).distinct(), "pairs-apart")
         more = found.where("a = b").limit(1).count()
         fresh, _ = stored(found.where("a <> b").join(tested, ["a", "b"], "left_anti"), "fresh-pairs")
         if fresh.limit(1).count():

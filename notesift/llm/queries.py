@@ -181,9 +181,9 @@ with recursive listed as (
   select x.doc_id as a, y.doc_id as b, count(*) as c from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by all
 ), links as materialized (
   select a, b from common join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * c >= 80 * (p.n + q.n - c)
-), both as materialized (select a, b from links union select b, a from links),
+), ways as materialized (select a, b from links union select b, a from links),
 reach(node, root) as (
-  select doc_id, doc_id from documents union select b, root from reach join both on a = node
+  select doc_id, doc_id from documents union select b, root from reach join ways on a = node
 )
 select d.doc_id, coalesce(max(n), 0) as n_shingles, min(root) as component_id, d.doc_id = min(root) as kept
 from documents d left join sizes using (doc_id) join reach on node = d.doc_id group by d.doc_id
