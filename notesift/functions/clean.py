@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from notesift.functions import constants as C
-from notesift.functions import spans
+from notesift.functions import kernel, spans
 
 #: Regular expressions here count all of Unicode's white space, and only a line feed ends a line.
 U = "(?Ud)"
@@ -58,47 +58,18 @@ def clean_text(text: Column) -> Column:
     return text
 
 
-def abbreviation_passes() -> list[list[str]]:
-    """Keys in passes such that within one, no match can hide another; longest first in each."""
-
-    def clash(a: str, b: str) -> bool:
-        bounded = lambda rest: not rest[:1].isalpha()
-        inside = a.startswith(b) and bounded(a[len(b) :]) or b.startswith(a) and bounded(b[len(a) :])
-        over = any(x[-k:] == y[:k] and bounded(y[k:]) and not x[-k - 1 : -k].isalpha() for x, y in ((a, b), (b, a)) for k in range(1, min(len(x), len(y))))
-        return inside or over
-
-    passes: list[list[str]] = []
-    for key in sorted(C.ABBREVIATIONS, key=len, reverse=True):
-        home = next((p for p in passes if not any(clash(key, k) for k in p)), None)
-        passes.append([key]) if home is None else home.append(key)
-    return passes
-
-
 def find_abbreviations(text: Column) -> Column:
-    """Spans whose ``label`` is the expansion; ``ord`` follows the length of the key."""
+    """Spans whose ``label`` is the expansion, from right to left; ``ord`` follows the length of the key."""
     every = sorted(C.ABBREVIATIONS, key=len, reverse=True)
-    order = F.create_map(*[x for k, key in enumerate(every) for x in (F.lit(key), F.lit(k))])
-    meaning = F.create_map(*[x for k, v in C.ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v))])
-    found = [spans.find(text, "(?<![A-Za-z])(?:" + "|".join(map(_quoted, p)) + ")(?![A-Za-z])", "", 0) for p in abbreviation_passes()]
-    named = F.transform(
-        F.concat(*found),
-        lambda s: F.struct(s["text"].alias("text"), F.element_at(meaning, s["text"]).alias("label"), s["start"].alias("start"), s["end"].alias("end"), F.element_at(order, s["text"]).alias("ord")),
-    )
-    return F.transform(F.array_sort(F.transform(named, lambda s: F.struct((-s["start"]).alias("a"), s["ord"].alias("b"), s.alias("s")))), lambda k: k["s"])
+    return kernel.find_keys(text, every, [C.ABBREVIATIONS[key] for key in every], list(range(len(every))), any_case=False, whole=True)
 
 
 def expand(text: Column, found: Column, preserve: bool = True) -> Column:
     return spans.spliced(text, found, lambda s: F.concat(s["text"], F.lit(" ("), s["label"], F.lit(")")) if preserve else s["label"])
 
 
-def _quoted(term: str) -> str:
-    return re.sub(r"([^A-Za-z0-9 ])", r"\\\1", term)
-
-
 def detect_phi(text: Column) -> Column:
-    found = [spans.find(text, U + p, kind, k) for k, (kind, p) in enumerate(C.PHI.items())]
-    found.append(spans.find(text, U + C.NAME[0], "NAME", len(C.PHI), group=C.NAME[1]))
-    return spans.longest(F.concat(*found))
+    return spans.longest(kernel.find_patterns(text, [*C.PHI.items(), ("NAME", f"{C.NAME[0]}({C.NAME[1]})")]))
 
 
 def mask(text: Column, found: Column) -> Column:
@@ -107,7 +78,7 @@ def mask(text: Column, found: Column) -> Column:
 
 def detect_sections(text: Column) -> Column:
     """``name``, ``start`` (of the header), ``end`` and ``text`` (the body) of each section."""
-    found = F.concat(*[spans.find(text, r"(?imuUd)^\s*(?:" + "|".join(p) + r")\s*:?\s*$", name, k) for k, (name, p) in enumerate(C.SECTIONS.items())])
+    found = kernel.find_patterns(text, [(name, r"^\s*(?:" + "|".join(p) + r")\s*:?\s*$") for name, p in C.SECTIONS.items()], re.IGNORECASE | re.MULTILINE)
     ordered = F.transform(F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("a"), s["ord"].alias("b"), s.alias("s")))), lambda k: k["s"])
 
     def section(every: Column, s: Column, k: Column) -> Column:

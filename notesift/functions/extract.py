@@ -2,73 +2,87 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from notesift.functions import constants as C
-from notesift.functions import spans
-from notesift.functions.clean import U, _quoted
+from notesift.functions import kernel, spans
 
 ENTITY = "struct<text:string,label:string,start:int,end:int,ord:int,confidence:double,source:string>"
 
 
-def term_passes(terms: list[str]) -> list[list[str]]:
-    """Terms in passes such that no two of one pass can overlap in a text."""
-
-    def clash(a: str, b: str) -> bool:
-        return a in b or b in a or any(x[-k:] == y[:k] for x, y in ((a, b), (b, a)) for k in range(1, min(len(x), len(y))))
-
-    passes: list[list[str]] = []
-    for term in terms:
-        home = next((p for p in passes if not any(clash(term, t) for t in p)), None)
-        passes.append([term]) if home is None else home.append(term)
-    return passes
-
-
-def find_terms(text: Column, terms: list[str], label: str, ord_: int) -> Column:
-    """Every term anywhere, in any case; terms that might overlap are looked for apart."""
-    return F.concat(*[spans.find(text, "(?iu)(?:" + "|".join(map(_quoted, p)) + ")", label, ord_) for p in term_passes(terms)])
+def find_terms(text: Column, terms: dict[str, list[str]], first: int = 0) -> Column:
+    """Every term anywhere, in any case, in one pass; ``terms`` has those of each label, whose places ``ord`` begin with ``first``."""
+    each = [(term, label, first + k) for k, (label, some) in enumerate(terms.items()) for term in some]
+    return kernel.find_keys(text, *map(list, zip(*each, strict=True)), any_case=True)
 
 
 def dosages(text: Column) -> Column:
-    return spans.find(text, "(?iuUd)" + C.DOSAGE, "DOSAGE", 0)
+    return kernel.find_patterns(text, [("DOSAGE", C.DOSAGE)], re.IGNORECASE)
 
 
 def dates(text: Column) -> Column:
-    return spans.find(text, U + C.DATE, "DATE", 1)
+    return kernel.find_patterns(text, [("DATE", C.DATE)], first=1)
 
 
 def medications(text: Column) -> Column:
-    return find_terms(text, C.MEDICATIONS, "MEDICATION", 2)
+    return find_terms(text, {"MEDICATION": C.MEDICATIONS}, 2)
 
 
 def diagnoses(text: Column) -> Column:
-    return find_terms(text, C.DIAGNOSES, "DIAGNOSIS", 3)
+    return find_terms(text, {"DIAGNOSIS": C.DIAGNOSES}, 3)
 
 
 def rule_entities(text: Column) -> Column:
-    return spans.longest(F.concat(dosages(text), dates(text), medications(text), diagnoses(text)))
+    return spans.longest(F.concat(dosages(text), dates(text), find_terms(text, {"MEDICATION": C.MEDICATIONS, "DIAGNOSIS": C.DIAGNOSES}, 2)))
 
 
-def negation(text: Column, start: Column, end: Column) -> Column:
-    """``negated``, ``trigger`` and ``trigger_type`` of a mention, from the words before it, else after it."""
+def judged(before: Column, after: Column) -> Column:
+    """``negated``, ``trigger`` and ``trigger_type`` by the words at the end of what stands before a mention, else at the beginning of what follows."""
     words = lambda t: F.filter(F.split(F.regexp_replace(F.lower(t), r"(?U)[\s\x1c-\x1f]+", " "), " "), lambda w: w != "")
-    low = F.greatest(start - C.NEGATION_CHARS, F.lit(0))
     last = lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - (C.NEGATION_WORDS - 1)), C.NEGATION_WORDS), " ")
-    pre = spans.bound(words(F.substring(text, low + 1, start - low)), last)
-    post = F.array_join(F.slice(words(F.substring(text, end + 1, F.lit(C.NEGATION_CHARS))), 1, C.NEGATION_WORDS), " ")
+    pre = spans.bound(words(before), last)
+    post = F.array_join(F.slice(words(after), 1, C.NEGATION_WORDS), " ")
     by_length = lambda triggers: F.array(*map(F.lit, sorted(triggers, key=len, reverse=True)))
     # the windows are worked out once, not for each trigger, and so are the hits
     hit = lambda triggers, window: spans.bound(window, lambda w: F.get(F.filter(by_length(triggers), lambda t: F.contains(w, t)), F.lit(0)))
 
-    def judged(h: Column) -> Column:
+    def verdict(h: Column) -> Column:
         return F.struct(
             (h["pre"].isNotNull() | h["post"].isNotNull()).alias("negated"),
             F.coalesce(h["pre"], h["post"], F.lit("")).alias("trigger"),
             F.when(h["pre"].isNotNull(), "pre").when(h["post"].isNotNull(), "post").otherwise("none").alias("trigger_type"),
         )
 
-    return spans.bound(F.struct(hit(C.PRE_TRIGGERS, pre).alias("pre"), hit(C.POST_TRIGGERS, post).alias("post")), judged)
+    return spans.bound(F.struct(hit(C.PRE_TRIGGERS, pre).alias("pre"), hit(C.POST_TRIGGERS, post).alias("post")), verdict)
+
+
+def windows(text: Column, entities: Column) -> Column:
+    """For each entity what stands ``before`` and ``after`` it, and its ``context``: all cut from the text in one pass."""
+    size = F.length(text)
+    low = lambda by: F.transform(entities, lambda e: F.greatest(e["start"] - by, F.lit(0)))
+    starts = F.concat(low(C.NEGATION_CHARS), entities["end"], low(C.CONTEXT))
+    ends = F.concat(entities["start"], F.transform(entities, lambda e: e["end"] + C.NEGATION_CHARS), F.transform(entities, lambda e: e["end"] + C.CONTEXT))
+
+    def one(cuts: Column, e: Column, k: Column) -> Column:
+        n = (F.size(cuts["parts"]) / 3).cast("int")
+        cut = F.concat(F.when(e["start"] > C.CONTEXT, "...").otherwise(""), F.get(cuts["parts"], 2 * n + k), F.when(e["end"] + C.CONTEXT < cuts["size"], "...").otherwise(""))
+        return F.struct(F.get(cuts["parts"], k).alias("before"), F.get(cuts["parts"], n + k).alias("after"), cut.alias("context"))
+
+    cuts = F.struct(kernel.cut(text, starts, ends).alias("parts"), size.alias("size"))
+    return spans.bound(cuts, lambda c: F.transform(entities, lambda e, k: one(c, e, k)))
+
+
+def negations(text: Column, entities: Column) -> Column:
+    """What ``judged`` says of each entity."""
+    return F.transform(windows(text, entities), lambda w: judged(w["before"], w["after"]))
+
+
+def negation(text: Column, start: Column, end: Column) -> Column:
+    """What ``judged`` says of one mention."""
+    return F.element_at(negations(text, F.array(F.struct(start.alias("start"), end.alias("end")))), 1)
 
 
 def scored_terms(text: Column) -> Column:
@@ -78,7 +92,7 @@ def scored_terms(text: Column) -> Column:
     """
     procedures = ["chest X-ray", "echocardiogram", "colonoscopy", "lumbar puncture", "dialysis"]
     levels = {"MEDICATION": 0.97, "DIAGNOSIS": 0.75, "PROCEDURE": 0.5}
-    found = F.concat(find_terms(text, C.MEDICATIONS[:12], "MEDICATION", 0), find_terms(text, C.DIAGNOSES[:12], "DIAGNOSIS", 1), find_terms(text, procedures, "PROCEDURE", 2))
+    found = find_terms(text, {"MEDICATION": C.MEDICATIONS[:12], "DIAGNOSIS": C.DIAGNOSES[:12], "PROCEDURE": procedures})
     level = F.create_map(*[x for k, v in levels.items() for x in (F.lit(k), F.lit(v))])
     return as_entities(found, lambda s: F.element_at(level, s["label"]), "model")
 
@@ -111,26 +125,20 @@ def section_at(sections: Column, start: Column) -> Column:
     return F.coalesce(F.get(inside, F.lit(0))["name"], F.lit("Unknown"))
 
 
-def context(text: Column, start: Column, end: Column) -> Column:
-    """The mention with what surrounds it, marked where it is cut."""
-    low, high = F.greatest(start - C.CONTEXT, F.lit(0)), F.least(end + C.CONTEXT, F.length(text))
-    return F.concat(F.when(low > 0, "...").otherwise(""), F.substring(text, low + 1, high - low), F.when(high < F.length(text), "...").otherwise(""))
-
-
 def kept(model: Column, rules: Column) -> Column:
     """Entities of both kinds, deduplicated and without overlaps."""
     return spans.most_confident(deduplicated(F.concat(model, rules)), ENTITY)
 
 
-def finished(text: Column, entities: Column, sections: Column) -> Column:
-    """``entities`` with negation, section, context and status."""
+def finished(entities: Column, around: Column, sections: Column) -> Column:
+    """``entities`` with negation, section, context and status; ``around`` has the ``windows`` of each."""
 
-    def one(secs: Column, e: Column) -> Column:
+    def one(secs: Column, e: Column, w: Column) -> Column:
         return F.struct(
             e["text"].alias("text"), e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end"),
-            F.round(e["confidence"], 4).alias("confidence"), negation(text, e["start"], e["end"])["negated"].alias("negated"),
-            section_at(secs, e["start"]).alias("section"), e["source"].alias("source"), context(text, e["start"], e["end"]).alias("context_snippet"),
+            F.round(e["confidence"], 4).alias("confidence"), judged(w["before"], w["after"])["negated"].alias("negated"),
+            section_at(secs, e["start"]).alias("section"), e["source"].alias("source"), w["context"].alias("context_snippet"),
             route(e["confidence"]).alias("status"),
         )
 
-    return spans.bound(sections, lambda secs: F.transform(entities, lambda e: one(secs, e)))
+    return spans.bound(sections, lambda secs: F.zip_with(entities, around, lambda e, w: one(secs, e, w)))

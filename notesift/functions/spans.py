@@ -1,4 +1,4 @@
-"""Spans of text as arrays of structs, without leaving the JVM.
+"""Spans of text as arrays of structs.
 
 A span is ``text, label, start, end, ord``: code points, end exclusive; ``ord``
 is the place of its pattern and settles ties.
@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notesift.functions import kernel
+
 SPAN = "struct<text:string,label:string,start:int,end:int,ord:int>"
-MARK = "\x01"
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -32,28 +33,6 @@ def empty() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def find(text: Column, pattern: str, label: str, ord_: int = 0, group: str | None = None) -> Column:
-    """All matches of ``pattern``, left to right, without overlap.
-
-    With ``group``, what follows the pattern: only the group's span is kept. Made
-    for patterns with few matches in a text; tokens are found by ``tokens``.
-    """
-    clean = F.translate(text, MARK, "\x02")  # as long as before
-    whole, kept = (f"({pattern})({group})", f"$1{MARK}$2{MARK}") if group else (pattern, f"{MARK}$0{MARK}")
-    parts = F.split(F.regexp_replace(clean, whole, kept), MARK, -1)
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), empty().alias("out"))
-
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["pos"] + F.length(part)
-        one = F.struct(
-            F.substring(text, acc["pos"] + 1, F.length(part)).alias("text"), F.lit(label).alias("label"), acc["pos"].alias("start"), end.alias("end"), F.lit(ord_).alias("ord")
-        )
-        out = F.when(acc["hit"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-        return F.struct(end.alias("pos"), (~acc["hit"]).alias("hit"), out.alias("out"))
-
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
-
-
 def _ordered(spans: Column) -> Column:
     """By start, the longer first, then by pattern."""
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), s["ord"].alias("c"), s.alias("s")))
@@ -86,9 +65,6 @@ def most_confident(entities: Column, kind: str) -> Column:
 
 def spliced(text: Column, spans: Column, replacement: Callable[[Column], Column]) -> Column:
     """``text`` with each span replaced, right to left; spans may overlap, as those with a lower place are replaced later."""
-    keyed = F.transform(spans, lambda s: F.struct((-s["start"]).alias("a"), s["ord"].alias("b"), s.alias("s")))
-    return F.aggregate(
-        F.array_sort(keyed),
-        text,
-        lambda acc, k: F.concat(F.substring(acc, F.lit(1), k["s"]["start"]), replacement(k["s"]), F.substring(acc, k["s"]["end"] + 1, F.length(acc))),
-    )
+    keyed = F.transform(spans, lambda s: F.struct((-s["start"]).alias("a"), s["ord"].alias("b"), s["end"].alias("end"), replacement(s).alias("value")))
+    ordered = F.array_sort(keyed)
+    return kernel.splice(text, F.transform(ordered, lambda k: -k["a"]), ordered["end"], ordered["value"])

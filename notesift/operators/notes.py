@@ -43,7 +43,8 @@ def extracted(done: DataFrame, scorer: Scorer = extract.scored_terms) -> DataFra
     rules = extract.as_entities(extract.rule_entities(F.col("cleaned_text")), lambda s: F.lit(C.RULE_CONFIDENCE), "rules")
     out = settled(settled(done).withColumn("rules", rules).withColumn("model", scorer(F.col("cleaned_text"))))
     out = settled(out.withColumn("kept", extract.kept(F.col("model"), F.col("rules"))))
-    out = out.withColumn("merged", extract.finished(F.col("cleaned_text"), F.col("kept"), F.col("sections"))).drop("kept")
+    out = settled(out.withColumn("around", extract.windows(F.col("cleaned_text"), F.col("kept"))))
+    out = out.withColumn("merged", extract.finished(F.col("kept"), F.col("around"), F.col("sections"))).drop("kept", "around")
     return settled(out)
 
 

@@ -97,9 +97,10 @@ def preprocess_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def negation(spark: SparkSession, sf: str) -> DataFrame:
-    each = notes(spark, sf).select("doc_id", "text", F.explode(extract.rule_entities(F.col("text"))).alias("e"))
-    found = each.select("doc_id", F.col("e.text").alias("entity"), F.col("e.start").alias("start"), extract.negation(F.col("text"), F.col("e.start"), F.col("e.end")).alias("n"))
-    return found.select("doc_id", "entity", "start", "n.negated", "n.trigger", "n.trigger_type")
+    found = path.settled(notes(spark, sf).withColumn("e", extract.rule_entities(F.col("text"))))
+    judged = path.settled(found.select("doc_id", "e", extract.negations(F.col("text"), F.col("e")).alias("n")))
+    each = judged.select("doc_id", F.inline(F.arrays_zip("e", "n")))
+    return each.select("doc_id", F.col("e.text").alias("entity"), F.col("e.start").alias("start"), "n.negated", "n.trigger", "n.trigger_type")
 
 
 @query
