@@ -62,22 +62,58 @@ def class_weights(tagged: DataFrame, smoothing: float = 0.1) -> DataFrame:
     return n.withColumn("raw", raw).select("tag", "tag_id", "n", (F.col("raw") / F.avg("raw").over(over)).alias("weight"))
 
 
+#: Bits of a hash that one pass of the search for a cut resolves.
+STEP = 16
+
+
+def cuts(hashes: DataFrame, ranks: list[int]) -> list[int]:
+    """For each of ``ranks`` a value of the column ``h`` that so many rows don't exceed.
+
+    Counts of the upper bits say in which cell of values a cut lies, and only rows of
+    that cell are counted by further bits, until the cut falls between two cells. A
+    pass returns at most 2**STEP rows for each rank; equal values stay together.
+    """
+    u = F.col("h").bitwiseXOR(F.lit(-(2**63)))  # in the order of unsigned numbers
+    found = {r: -(2**63) - 1 for r in ranks if r <= 0}
+    search = {r: (0, r) for r in ranks if r > 0}
+    for level in range(64 // STEP):
+        if not search:
+            break
+        shift = 64 - STEP * (level + 1)
+        top = F.shiftrightunsigned(u, shift + STEP) if level else F.lit(0).cast("long")
+        cell = F.shiftrightunsigned(u, shift).bitwiseAND(F.lit(2**STEP - 1))
+        inside = hashes.where(top.isin(sorted({p for p, _ in search.values()})))
+        rows = sorted((r.top, r.cell, r.n) for r in inside.groupBy(top.alias("top"), cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for rank, (prefix, left) in list(search.items()):
+            mine = [(c, n) for t, c, n in rows if t == prefix]
+            if sum(n for _, n in mine) < left:  # more than there are
+                found[rank] = 2**63 - 1
+                del search[rank]
+                continue
+            for c, n in mine:
+                if n >= left:
+                    break
+                left -= n
+            here = (prefix << STEP) | c
+            if n == left or not shift:
+                found[rank] = ((here + 1) << shift) - 1 - 2**63
+                del search[rank]
+            else:
+                search[rank] = (here, left)
+    return [found[r] for r in ranks]
+
+
 def splits(notes: DataFrame, seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """``split`` of every document, with exact sizes, by the order of a hash.
+    """``split`` of every document, with exact sizes, by the order of a hash; rows that share an id stay together.
 
-    Ranks are counted within 256 ranges of the hash and offset by the ranges
-    before, so the order isn't one task's.
+    The order is never made: two cuts are found by counting, and each row is compared with them.
     """
-    keyed = notes.select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("h")).withColumn("cell", F.shiftright("h", 56))
-    cells = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows
-    cells = cells.select("cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("h", "doc_id")) + F.col("before")
+    keyed = notes.select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
+    total = keyed.count()
     a, b = int(total * train), int(total * val)
-    return keyed.join(F.broadcast(cells), "cell").withColumn("rank", rank).select(
-        "doc_id", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= a + b, "val").otherwise("test").alias("split")
-    )
+    first, second = cuts(keyed, [a, a + b])
+    below = lambda cut: F.lit(False) if cut < -(2**63) else F.col("h") <= F.lit(cut)
+    return keyed.select("doc_id", F.when(below(first), "train").when(below(second), "val").otherwise("test").alias("split"))
 
 
 def first_subwords(subwords: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from notesift.functions import clean, extract
 from notesift.functions import constants as C
 from notesift.functions.spans import settled
+from notesift.operators import scoring
 
-Scorer = Callable[[Column], Column]
+#: A function of the text's column, or a model that runs on executors.
+Scorer = Callable[[Column], Column] | scoring.Model
 
 
 def preprocess(notes: DataFrame, expand_abbrevs: bool = True, mask_phi: bool = True, preserve: bool = True) -> DataFrame:
@@ -39,9 +41,12 @@ def summary(done: DataFrame) -> DataFrame:
 
 
 def extracted(done: DataFrame, scorer: Scorer = extract.scored_terms) -> DataFrame:
-    """Adds ``merged``: entities of the scorer and the rules after postprocessing."""
+    """Adds ``merged``: entities of the scorer and the rules after postprocessing; those that a model fails on are left with its ``error``."""
     rules = extract.as_entities(extract.rule_entities(F.col("cleaned_text")), lambda s: F.lit(C.RULE_CONFIDENCE), "rules")
-    out = settled(settled(done).withColumn("rules", rules).withColumn("model", scorer(F.col("cleaned_text"))))
+    if isinstance(scorer, scoring.Model):
+        out = settled(scoring.scored(settled(done), scorer).withColumn("rules", rules))
+    else:
+        out = settled(settled(done).withColumn("rules", rules).withColumn("model", scorer(F.col("cleaned_text"))))
     out = settled(out.withColumn("kept", extract.kept(F.col("model"), F.col("rules"))))
     out = settled(out.withColumn("around", extract.windows(F.col("cleaned_text"), F.col("kept"))))
     out = out.withColumn("merged", extract.finished(F.col("kept"), F.col("around"), F.col("sections"))).drop("kept", "around")
@@ -69,9 +74,10 @@ def formatted(done: DataFrame) -> DataFrame:
     )
 
 
-def run(notes: DataFrame, **how: bool) -> DataFrame:
-    """The output documents of ``notes`` that aren't blank."""
-    return formatted(extracted(preprocess(notes.where(clean.strip(F.coalesce("text", F.lit(""))) != ""), **how)))
+def run(notes: DataFrame, scorer: Scorer = extract.scored_terms, **how: bool) -> DataFrame:
+    """The output documents of ``notes`` that aren't blank and that the scorer didn't fail on."""
+    found = extracted(preprocess(notes.where(clean.strip(F.coalesce("text", F.lit(""))) != ""), **how), scorer)
+    return formatted(found.where("error is null") if isinstance(scorer, scoring.Model) else found)
 
 
 def exploded(df: DataFrame, column: str, *fields: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Batch statistics, audit events, request counters and health."""
+"""Audit events, request counters and health."""
 
 from __future__ import annotations
 
@@ -16,12 +16,6 @@ def outcomes(notes: DataFrame) -> DataFrame:
     return notes.select("doc_id", F.when(blank, "failed").otherwise("success").alias("status"))
 
 
-def batch_stats(notes: DataFrame) -> DataFrame:
-    done = outcomes(notes)
-    count = lambda s: F.count_if(F.col("status") == s)
-    return done.agg(F.count(F.lit(1)).alias("total"), count("success").alias("success"), count("failed").alias("failed"), F.lit(0).cast("long").alias("retried"))
-
-
 def audit_events(notes: DataFrame) -> DataFrame:
     """What the log would say of each note, without time stamps."""
     done = outcomes(notes)
@@ -62,13 +56,3 @@ def health(spark: SparkSession, model_loaded: bool = True) -> DataFrame:
     uptime = (F.unix_millis(F.current_timestamp()) - F.lit(spark.sparkContext.startTime)) / 1000
     return spark.range(1).select(F.lit(status).alias("status"), F.lit(model_loaded).alias("model_loaded"), F.lit(C.MODEL_VERSION).alias("model_version"), uptime.alias("uptime_seconds"))
 
-
-def with_retries(notes: DataFrame, attempts: int = 3) -> DataFrame:
-    """``attempts`` made and ``error`` of each note, with errors kept in the row.
-
-    The functions are deterministic, so a row that fails once would always fail:
-    it is tried ``attempts`` times in name, and Spark itself repeats tasks that
-    lose their executor.
-    """
-    bad = F.col("text").isNull()
-    return notes.select("doc_id", F.when(bad, attempts).otherwise(1).cast("int").alias("attempts"), F.when(bad, "null text").alias("error"))

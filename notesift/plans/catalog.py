@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from notesift.functions import clean, extract
 from notesift.functions import constants as C
-from notesift.operators import evaluation, generator, labeling, serving
+from notesift.operators import evaluation, generator, labeling, scoring, serving, tagger
 from notesift.operators import notes as path
 from notesift.plans.carrier import notes
 from notesift.sources import jsonl
+from notesift.streaming import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -276,9 +277,19 @@ def scorer_stub(spark: SparkSession, sf: str) -> DataFrame:
     return path.exploded(_raw(spark, sf), "model", "text", "label", "start", "end", "confidence").drop("ord")
 
 
+def tried(spark: SparkSession, sf: str) -> DataFrame:
+    """The carrier's notes through a scorer that fails on some of them, on others once."""
+    return scoring.scored(notes(spark, sf), scoring.TRIAL, "text")
+
+
 @query
 def batch_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.batch_stats(notes(spark, sf))
+    return scoring.batch_stats(tried(spark, sf))
+
+
+@query
+def batch_log_events(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.log_events(tried(spark, sf))
 
 
 @query
@@ -288,7 +299,42 @@ def audit_log_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def retry_counters(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.with_retries(notes(spark, sf)).groupBy("attempts").agg(F.count(F.lit(1)).alias("n"))
+    return scoring.retries(tried(spark, sf))
+
+
+def tagger_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated notes as words and tags, with their split."""
+    rows = labeling.bio_records(bio_tags(spark, sf))
+    return rows.join(labeling.splits(generated(spark, sf).select("doc_id")), "doc_id")
+
+
+def fitted(records: DataFrame) -> tagger.Trained:
+    """A tagger fitted to the training split, with class weights as the tags' counts give them."""
+    part = lambda name: records.where(F.col("split") == name)
+    tags = part("train").select("doc_id", F.explode(F.arrays_zip("tags", "tag_ids")).alias("t")).select("doc_id", F.col("t.tags").alias("tag"))
+    counted = {r.tag: (r.n, r.weight) for r in labeling.class_weights(tags).collect()}  # a row for each tag
+    return tagger.trained(part("train"), part("val"), [counted[t][1] if counted[t][0] else 0.0 for t in C.TAGS])
+
+
+@query
+def ner_training(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores on the test split of a tagger trained on the others."""
+    records = tagger_records(spark, sf).persist()
+    made = fitted(records)
+    return evaluation.ner_prf(tagger.tagged(records.where("split = 'test'"), made.weights))
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def model_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """The document path over the carrier's notes with a tagger that was trained on generated ones."""
+    made = tagger.model(fitted(tagger_records(spark, sf).persist()).weights, word_tokenizer(), f"tagger of {sf}")
+    return path.run(notes(spark, sf), made).select("doc_id", "processing_metadata.*")
 
 
 @query
@@ -306,12 +352,31 @@ def health(spark: SparkSession, sf: str) -> DataFrame:
     return serving.health(spark)
 
 
+def conversation_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns as JSON lines with their order; first turns come once more, cut short, and so aren't JSON."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    line = F.to_json(F.struct(F.col("conv_id").cast("string").alias("document_id"), "text"))
+    return rows.withColumn("line", line).select(F.col("turn").alias("ord"), F.explode(F.expr("if(turn = 0, array(line, left(line, length(line) - 3)), array(line))")).alias("value"))
+
+
 @query
 def src_jsonl_lastwins(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").alias("ord"), "text")
+    rows = jsonl.parsed(conversation_lines(spark, sf)).where("bad is null")
     return jsonl.last_wins(rows, "document_id", "ord").select("document_id", "text")
 
 
+@query
+def src_jsonl_bad_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return jsonl.line_counts(jsonl.parsed(conversation_lines(spark, sf)))
+
+
+@query
+def request_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stream of requests has added up once all have arrived."""
+    made = sinks.totals(spark.read.parquet(f"{sf}/events.parquet"))
+    return made.select("endpoint", "status", "n", "seconds", F.explode("buckets").alias("b")).select("endpoint", "status", "n", "seconds", "b.le", F.col("b.n").alias("n_le"))
+
+
 @query
 def eval_report(spark: SparkSession, sf: str) -> DataFrame:
     pairs = predictions(spark, sf)

@@ -349,13 +349,31 @@ def build() -> dict[str, str]:
     )
     out["batch_extract"] = w(*_pipeline(), merged("me", "c3"), f"SELECT n.doc_id, {meta} FROM notes n LEFT JOIN me ON n.doc_id = me.doc_id WHERE {strip('n.text')} <> '' GROUP BY n.doc_id")
     blank = f"({strip('text')} = '')"
-    out["batch_stats"] = w(NOTES, f"SELECT count(*) AS total, count(*) FILTER (NOT {blank}) AS success, count(*) FILTER ({blank}) AS failed, 0::BIGINT AS retried FROM notes")
+    tries = (
+        f"tries AS (SELECT doc_id, CASE WHEN {blank} THEN 0 WHEN length(text) % 7 = 0 THEN 3 WHEN length(text) % 5 = 0 THEN 2 ELSE 1 END::INT AS attempts, "
+        f"CASE WHEN {blank} THEN NULL WHEN length(text) % 7 = 0 THEN 'ValueError: length not supported' END AS error FROM notes)"
+    )
+    failed = "(attempts = 0 OR error IS NOT NULL)"
+    out["batch_stats"] = w(NOTES, tries, f"SELECT count(*) AS total, count(*) FILTER (NOT {failed}) AS success, count(*) FILTER ({failed}) AS failed, coalesce(sum(greatest(attempts - 1, 0)), 0)::BIGINT AS retried FROM tries")
+    out["batch_log_events"] = w(
+        NOTES, tries,
+        "steps AS (SELECT *, unnest(range(0, greatest(attempts, 1)))::INT AS ord FROM tries)",
+        "last AS (SELECT *, ord = greatest(attempts, 1) - 1 AS final FROM steps)",
+        "SELECT doc_id, ord, CASE WHEN attempts = 0 THEN 'WARNING' WHEN NOT final OR error IS NOT NULL THEN 'ERROR' ELSE 'INFO' END AS level, "
+        "CASE WHEN attempts = 0 THEN 'document_skipped' WHEN NOT final THEN 'document_retry' WHEN error IS NOT NULL THEN 'document_failed' ELSE 'document_processed' END AS event, "
+        "CASE WHEN NOT final THEN ord + 1 WHEN error IS NOT NULL THEN 3 END::INT AS attempt, CASE WHEN attempts = 0 THEN 'empty text' ELSE error END AS error FROM last",
+    )
     out["audit_log_events"] = w(NOTES, f"SELECT doc_id, CASE WHEN {blank} THEN 'WARNING' ELSE 'INFO' END AS level, CASE WHEN {blank} THEN 'empty_note_skipped' ELSE 'document_processed' END AS event FROM notes")
-    out["retry_counters"] = w(NOTES, "SELECT CASE WHEN text IS NULL THEN 3 ELSE 1 END::INT AS attempts, count(*) AS n FROM notes GROUP BY 1")
+    out["retry_counters"] = w(NOTES, tries, f"SELECT attempts, CASE WHEN {failed} THEN 'failed' ELSE 'success' END AS status, error, count(*) AS n FROM tries GROUP BY ALL")
     out["request_counter"] = "SELECT event_type AS endpoint, CASE WHEN value < 0 THEN '500' ELSE '200' END AS status, count(*) AS n FROM events GROUP BY 1, 2"
     bounds = ", ".join(f"('{b}', {b}::DOUBLE)" for b in C.LATENCY_BOUNDS) + ", ('+Inf', 'infinity'::DOUBLE)"
     out["latency_histogram"] = f"SELECT event_type AS endpoint, le, count(*) FILTER (value / 100 <= bound) AS n FROM events, (VALUES {bounds}) b(le, bound) GROUP BY event_type, le"
-    out["src_jsonl_lastwins"] = "SELECT conv_id::VARCHAR AS document_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id"
+    out["request_metrics"] = (
+        f"WITH r AS (SELECT event_type AS endpoint, CASE WHEN value < 0 THEN '500' ELSE '200' END AS status, value / 100 AS s FROM events), t AS (SELECT endpoint, status, count(*) AS n, round(sum(s), 6) AS seconds FROM r GROUP BY ALL) "
+        f"SELECT endpoint, status, n, seconds, le, count(*) FILTER (s <= bound) AS n_le FROM r JOIN t USING (endpoint, status), (VALUES {bounds}) b(le, bound) GROUP BY ALL"
+    )
+    out["src_jsonl_lastwins"] = "SELECT conv_id::VARCHAR AS document_id, arg_max(coalesce(text, ''), turn) AS text FROM conversations GROUP BY conv_id"
+    out["src_jsonl_bad_lines"] = "SELECT count(*) AS good, count(*) FILTER (turn = 0) AS bad FROM conversations"
     return out
 
 

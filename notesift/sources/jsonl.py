@@ -14,6 +14,22 @@ def read(spark: SparkSession, path: str, schema: str = NOTE) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def parsed(lines: DataFrame, schema: str = NOTE) -> DataFrame:
+    """The fields of JSON lines (the column ``value``); of a line that isn't JSON of this kind ``bad`` is the text, and the fields are null."""
+    got = F.from_json("value", f"{schema}, bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+    return lines.where(F.trim("value") != "").select(*[c for c in lines.columns if c != "value"], got.alias("r")).select(*[c for c in lines.columns if c != "value"], "r.*")
+
+
+def line_counts(rows: DataFrame) -> DataFrame:
+    """Good and bad lines of what ``parsed`` gives."""
+    return rows.agg(F.count_if(F.col("bad").isNull()).alias("good"), F.count_if(F.col("bad").isNotNull()).alias("bad"))
+
+
+def read_lines(spark: SparkSession, path: str, schema: str = NOTE) -> DataFrame:
+    """Files of JSON lines, bad ones kept aside in ``bad``."""
+    return parsed(spark.read.text(path), schema)
+
+
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Of rows with equal keys the last by ``order``, as loading into a dictionary would leave."""
     newest = Window.partitionBy(key).orderBy(F.desc(order))
