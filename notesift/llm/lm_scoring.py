@@ -121,6 +121,26 @@ def _parsed(payload: bytes) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
+#: Counts from here on are sent apart from the others, in 64 bits.
+FULL = 2**32 - 1
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Counts in 32 bits each; the places and values of those that don't fit follow."""
+    big = np.flatnonzero(values >= FULL)
+    return b"".join([np.minimum(values, FULL).astype("<u4").tobytes(), np.array([len(big), *big, *values[big]], "<u8").tobytes()])
+
+
+def unpacked(payload: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    """``n`` counts that ``packed`` has written at ``at``, and where they end."""
+    values = np.frombuffer(payload, "<u4", n, at).astype(np.int64)
+    at += 4 * n
+    k = int(np.frombuffer(payload, "<u8", 1, at)[0])
+    big = np.frombuffer(payload, "<u8", 2 * k, at + 8).astype(np.int64)
+    values[big[:k]] = big[k:]
+    return values, at + 8 + 16 * k
+
+
 def solved(payloads: list[bytes]) -> tuple[list[bytes], tuple[int, int], np.ndarray]:
     """Totals for each request in turn; then training tokens and types, and counts of counts by bucket."""
     parts = [_parsed(p) for p in payloads]
@@ -139,7 +159,7 @@ def solved(payloads: list[bytes]) -> tuple[list[bytes], tuple[int, int], np.ndar
     for p in parts:
         w, q = place[a : a + len(p[0])], where[b : b + len(p[3])]
         a, b = a + len(p[0]), b + len(p[3])
-        replies.append(b"".join([counts[w].astype("<u8").tobytes(), total[w].astype("<u8").tobytes(), *(k[w].astype("<u4").tobytes() for k in kinds), pairs[q].astype("<u4").tobytes()]))
+        replies.append(b"".join([counts[w].astype("<u8").tobytes(), total[w].astype("<u8").tobytes(), *(packed(k[w]) for k in kinds), packed(pairs[q])]))
     return replies, (int(counts.sum()), int((counts > 0).sum())), tally
 
 
@@ -171,9 +191,10 @@ class Automaton:
             k = b - a
             counts[a:b] = np.frombuffer(payload, "<u8", k)
             total[a:b] = np.frombuffer(payload, "<u8", k, 8 * k)
+            end = 16 * k
             for j in range(3):
-                kinds[j, a:b] = np.frombuffer(payload, "<u4", k, 16 * k + 4 * k * j)
-            pairs[c:d] = np.frombuffer(payload, "<u4", d - c, 28 * k)
+                kinds[j, a:b], end = unpacked(payload, k, end)
+            pairs[c:d], _ = unpacked(payload, d - c, end)
         unigram = (counts + 1) / (tokens + types + 1)
         own = cut[:, np.frexp(np.maximum(total, 1))[1] - 1]
         left = np.divide((own * kinds).sum(axis=0), total, out=np.ones(n), where=total > 0)

@@ -47,6 +47,11 @@ MARKS = frozenset(
     "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login paywall disclaimer "
     "share sharing social related recommended recommendations trending popular tags taglist byline skip hidden".split()
 )
+#: Words that may stand beside a mark in one class or id, as in ``nav-bar``; beside any other word (``related-work``) a mark means nothing.
+BESIDE = frozenset(
+    "area bar block body bottom box btn button buttons col column container content desktop float global group icon icons inner item items js left link links list local main message mobile "
+    "module outer page panel post posts primary right row secondary section site slot space story stories text to toggle top unit view wrap wrapper".split()
+)
 #: Words that may mark a part of the article as well: its lines stay if they are in the cluster.
 DOUBTFUL = frozenset("header discussion reactions".split())
 #: What a start tag closes, if one is open nearer than the given scope.
@@ -57,6 +62,17 @@ P_SCOPE = BLOCK - {"p"}
 WORDS = re.compile(r"[a-z]+")
 
 
+def marks(value: str) -> set[str]:
+    """The marks of a class or id attribute: of each name whose words are all marks or may stand beside one."""
+    found: set[str] = set()
+    for name in value.lower().split():
+        parts = WORDS.findall(name)
+        own = MARKS.intersection(parts)
+        if own and BESIDE.issuperset(p for p in parts if p not in own):
+            found |= own
+    return found
+
+
 class Lines(HTMLParser):
     """Collects lines: their text, tags, characters in links and the path of their elements."""
 
@@ -121,7 +137,8 @@ class Lines(HTMLParser):
             self._close(*IMPLIED[tag])
         above = bool(self.stack) and self.stack[-1][2]
         known = dict(attrs)
-        marked = {w for key in ("class", "id") for w in WORDS.findall((known.get(key) or "").lower())} if "class" in known or "id" in known else ()
+        named = " ".join(known.get(key) or "" for key in ("class", "id")) if "class" in known or "id" in known else ""
+        marked = marks(named) if named else ()
         dropped = (
             above
             or tag in DROPPED
@@ -129,7 +146,7 @@ class Lines(HTMLParser):
             or (known.get("role") or "").lower() in ROLES
             or "hidden" in known
             or known.get("aria-hidden") == "true"
-            or (tag not in ("html", "body", "main", "article") and not MARKS.isdisjoint(marked))
+            or (tag not in ("html", "body", "main", "article") and bool(marked))
             or (tag == "article" and not {"comment", "comments", "reply", "ad", "advert", "promo", "related"}.isdisjoint(marked))
         )
         if dropped != above:
@@ -138,7 +155,7 @@ class Lines(HTMLParser):
         parent = self.stack[-1][1] if self.stack else 0
         self.parents.append(parent)
         self.names.append(tag)
-        self.doubtful.append(self.doubtful[parent] or not DOUBTFUL.isdisjoint(marked))
+        self.doubtful.append(self.doubtful[parent] or bool(named) and not DOUBTFUL.isdisjoint(WORDS.findall(named.lower())))
         self.open[tag].append(len(self.stack))
         if tag in BLOCK:
             self.blocks.append(len(self.stack))

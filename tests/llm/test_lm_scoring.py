@@ -89,3 +89,24 @@ def test_held_out_copies_score_better_than_the_base(spark):
     rows += [(k, source) for k in range(100, 130)] + [(held[0], source)]
     got = {r.id: r for r in lm_scoring.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[held[0]].held_out and got[held[0]].score > got[held[0]].base_score + 5
+
+
+def test_counts_beyond_32_bits():
+    values = np.array([0, 5, 2**32 - 2, 2**32 - 1, 2**32, 6_000_000_000, 7, 2**53], dtype=np.int64)
+    payload = b"head" + lm_scoring.packed(values) + lm_scoring.packed(values[:2])
+    got, end = lm_scoring.unpacked(payload, len(values), 4)
+    assert got.tolist() == values.tolist()
+    assert lm_scoring.unpacked(payload, 2, end)[0].tolist() == [0, 5]
+
+
+def test_pairs_of_two_batches_add_up_beyond_32_bits():
+    made = lm_scoring.Batch.of(["one two"], [True])
+    made.pairs, made.counts = made.pairs * 3_000_000_000, made.counts * 3_000_000_000
+    ((_, payload),) = made.requests(1)
+    replies, (tokens, _), _ = lm_scoring.solved([payload, payload])
+    k = len(made.hashes)
+    end = 16 * k
+    for _ in range(3):
+        _, end = lm_scoring.unpacked(replies[0], k, end)
+    pairs, _ = lm_scoring.unpacked(replies[0], len(made.pairs), end)
+    assert set(pairs.tolist()) == {6_000_000_000} and tokens == 18_000_000_000

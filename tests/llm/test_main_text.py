@@ -123,3 +123,22 @@ def test_time_follows_the_length(html):
     began = time.process_time()
     main_text.extract(html)
     assert time.process_time() - began < 6
+
+
+PROSE = "Some sentence of the article that is long enough to count as prose, with a second clause. " * 4
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["related-work", "social-impact", "notice-of-award", "share-price", "rail-travel", "hidden-costs", "skip-logic", "copyright-law", "comment-on-method", "popular-culture", "trending-topics", "alert-levels", "navigation-systems", "plain"],
+)
+def test_sections_named_after_their_subject_stay(name):
+    page = f"<html><body><article><h1>Title</h1><p>{PROSE}</p><section class='{name}'><p>Inside. {PROSE}</p></section><div id='{name}'><p>Also. {PROSE}</p></div></article></body></html>"
+    got = main_text.extract(page)
+    assert "Inside." in got and "Also." in got
+
+
+@pytest.mark.parametrize("name", ["related", "nav-bar", "site-nav", "ad-slot", "cookie-notice", "share-buttons", "related-posts", "comments", "sidebar main", "x newsletter_box", "social-links", "skip-to-content"])
+def test_marks_still_drop(name):
+    page = f"<html><body><article><h1>Title</h1><p>{PROSE}</p><div class='{name}'><p>Inside. {PROSE}</p></div></article></body></html>"
+    assert "Inside." not in main_text.extract(page)
