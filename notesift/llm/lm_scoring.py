@@ -174,9 +174,10 @@ def discounts(tally: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Automaton:
-    """What a batch can reach: arcs by state and word, failure weights, and the root's arcs (all log10)."""
+    """What a batch can reach: arcs in the order of their state and word, failure weights, and the root's arcs (all log10)."""
 
-    arcs: dict[int, float]
+    keys: np.ndarray  # state times number of words, plus the word
+    arcs: np.ndarray
     fail: list[float | None]
     root: list[float]
 
@@ -202,14 +203,22 @@ class Automaton:
         first, second, c = batch.first[seen], batch.second[seen], pairs[seen]
         p = (c - own[np.minimum(c, 3).astype(int) - 1, first]) / total[first] + left[first] * unigram[second]
         fail = [x if s else None for x, s in zip(np.log10(np.maximum(left, 1e-300)).tolist(), (total > 0).tolist(), strict=True)]
-        return cls(dict(zip((first * n + second).tolist(), np.log10(p).tolist(), strict=True)), fail, np.log10(unigram).tolist()), counts
+        return cls(first * n + second, np.log10(p), fail, np.log10(unigram).tolist()), counts
 
-    def score(self, text: list[int]) -> float:
+    def arcs_along(self, text: np.ndarray) -> list[float | None]:
+        """The arc from each word of ``text`` to the next, if there is one."""
+        steps = text[:-1] * len(self.root) + text[1:]
+        if not len(self.keys):
+            return [None] * len(steps)
+        at = np.minimum(np.searchsorted(self.keys, steps), len(self.keys) - 1)
+        return [arc if hit else None for arc, hit in zip(self.arcs[at].tolist(), (self.keys[at] == steps).tolist(), strict=True)]
+
+    def score(self, text: np.ndarray) -> float:
         """One traversal from the root."""
-        arcs, fail, root, n, out, state = self.arcs, self.fail, self.root, len(self.root), 0.0, -1
-        for w in text:
-            arc = arcs.get(state * n + w) if state >= 0 else None
-            if arc is None:
+        fail, root, state = self.fail, self.root, -1
+        out = 0.0
+        for w, arc in zip(text.tolist(), [None, *self.arcs_along(text)], strict=True):
+            if state < 0 or arc is None:
                 if state >= 0:
                     out += fail[state]
                 arc = root[w]
@@ -265,7 +274,7 @@ def scored(docs: DataFrame, fold: int = 7, rest: int = 2, id_col: str = "doc_id"
         automaton, counts = Automaton.of(batch, replies.sort_values("shard")["reply"].tolist(), tokens, types, cut, shards)
         known, base = counts > 0, np.array(automaton.root)
         out = [
-            (k, not t, len(r), int(known[r].sum()), tokens, float(base[r].sum()), automaton.score(r.tolist()))
+            (k, not t, len(r), int(known[r].sum()), tokens, float(base[r].sum()), automaton.score(r))
             for k, t, r in zip(ids, training, batch.texts, strict=True)
         ]
         return pd.DataFrame(out, columns=names).astype({"id": "Int64"})
