@@ -11,6 +11,7 @@ from notesift.functions import clean, extract
 from notesift.functions import constants as C
 from notesift.operators import evaluation, generator, labeling, scoring, serving, tagger
 from notesift.operators import notes as path
+from notesift.operators import subwords as subwords_of
 from notesift.plans.carrier import notes
 from notesift.sources import jsonl
 from notesift.streaming import sinks
@@ -330,6 +331,26 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def subword_rows(spark: SparkSession, sf: str, size: int = 128) -> DataFrame:
+    import public_tokenizers
+
+    records = labeling.bio_records(bio_tags(spark, sf))
+    return subwords_of.dataset(records, public_tokenizers.path("word_bpe_49k.json"), (49406, 49407, 0), size)
+
+
+@query
+def subword_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated notes as rows of 128 subwords with the labels of their words."""
+    return subword_rows(spark, sf)
+
+
+@query
+def subword_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The words whose labels the rows carry, read back from the first subwords: those of ``bio_tags`` but for words that were cut off."""
+    places = subwords_of.placed(subword_rows(spark, sf, 4096))
+    return labeling.first_subwords(places).select("doc_id", F.col("word_id").alias("pos"), F.col("label").alias("tag_id"))
+
+
 @query
 def model_extract(spark: SparkSession, sf: str) -> DataFrame:
     """The document path over the carrier's notes with a tagger that was trained on generated ones."""

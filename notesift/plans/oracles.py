@@ -285,6 +285,7 @@ def build() -> dict[str, str]:
     out["generated_spans"] = w(made(), 'SELECT doc_id, ord, text, label, "start", "end" FROM gold')
     out["entity_label_counts"] = w(made(), "SELECT label, count(*) AS n FROM gold GROUP BY label")
     out["bio_tags"] = w(tagged(), "SELECT * FROM tagged")
+    out["subword_labels"] = w(tagged(), "SELECT doc_id, pos, tag_id FROM tagged")
     out["bio_records"] = w(
         tagged(),
         """SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS tokens, string_agg(tag, ' ' ORDER BY pos) AS tags, string_agg(tag_id::VARCHAR, ' ' ORDER BY pos) AS tag_ids,
