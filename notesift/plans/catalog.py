@@ -304,9 +304,10 @@ def retry_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tagger_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Generated notes as words and tags, with their split."""
-    rows = labeling.bio_records(bio_tags(spark, sf))
-    return rows.join(labeling.splits(generated(spark, sf).select("doc_id")), "doc_id")
+    """Generated notes as words and tags, with their split; entities are whole, unlike those of ``bio_tags``."""
+    made = generated(spark, sf)
+    rows = labeling.bio_records(labeling.bio_tags(labeling.tokens(made), path.exploded(made, "entities", "label", "start", "end")))
+    return rows.join(labeling.splits(made.select("doc_id")), "doc_id")
 
 
 def fitted(records: DataFrame) -> tagger.Trained:
