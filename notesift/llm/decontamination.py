@@ -37,8 +37,10 @@ from notesift.llm.common import stored, unused
 
 #: Tokens in a window, in a run that counts, and literal ones that it needs.
 WINDOW, RUN, LITERAL = 8, 13, 4
+#: Literal tokens that are enough where an item of at most RUN tokens occurs whole.
+WHOLE = 3
 #: Tokens of the shortest item that is searched by template, and by plain tokens.
-TEMPLATE, PLAIN = 5, 3
+TEMPLATE, PLAIN = 4, 3
 #: Items that are held in memory at once.
 BLOCK = 5_000
 #: Tokens of a worker's cache; it is cleared when full.
@@ -225,7 +227,8 @@ def leaks(items: Items, templates: Templates, text: str | None) -> list[tuple[in
     for k, shift in diagonals:
         item, at = items.codes[k], max(0, -shift)
         n, need = min(len(item.plain) - at, len(tokens) - shift - at), min(RUN, len(item.plain))
-        if np.count_nonzero(item.plain[at : at + n] == coded.plain[shift + at : shift + at + n]) < min(LITERAL, need):
+        short = len(item.plain) <= RUN
+        if np.count_nonzero(item.plain[at : at + n] == coded.plain[shift + at : shift + at + n]) < min(WHOLE if short else LITERAL, need):
             continue  # too few equal tokens for either rule
         for off, length in consistent_runs(item, items.tokens[k], coded, tokens, at, shift + at, n) if n >= need else ():
             if length < need:
@@ -233,7 +236,7 @@ def leaks(items: Items, templates: Templates, text: str | None) -> list[tuple[in
             p, q = at + off, shift + at + off
             equal = item.plain[p : p + length] == coded.plain[q : q + length]
             literal = int((equal & (item.template[p : p + length] > UNIT_SLOT)).sum())
-            if (literal >= LITERAL and need >= TEMPLATE) or longest(equal) >= need:
+            if (literal >= (WHOLE if short else LITERAL) and need >= TEMPLATE) or longest(equal) >= need:
                 found.add((items.ids[k], q, q + length))
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 

@@ -28,10 +28,12 @@ def ids(text):
         ("Mary has 5 apples and buys 7 more. How many now?", {2}),
         ("so Mary has 9 apples and buys 4 more. how many now?", {2}),
         ("Ask: What is 12 times 7? Then stop.", {3}),
-        ("What is 13 times 7?", set()),
+        ("What is 13 times 7?", {3}),
+        ("What is 13 plus 7?", set()),
         ("Eva walked to the big market with Ida. Karl sold him 8 pears. Nora ate 6 of the ripe ones at home. How many are left?", {4}),
         ("please solve 3x+2=11 now, quickly", {5}),
-        ("please solve 4x+2=11 now, quickly", set()),
+        ("please solve 4x+2=11 now, quickly", {5}),
+        ("please solve 4x+2=12 now, quickly", set()),
         ("Mary has five pears and sells 7 more. How many now?", set()),
     ],
 )

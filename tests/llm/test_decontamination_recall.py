@@ -56,3 +56,50 @@ def test_nine_of_ten_changed_questions_are_found():
         clean = sum(bool(dec.leaks(made, templates, filled(rng, question(rng)))) for _ in range(300))
     assert found >= 0.9 * len(items)
     assert wrong <= 3 and clean <= 3
+
+
+FORMS = (
+    "What is {n} times {n}?",
+    "Is {n} larger than {n}?",
+    "Compute {n} plus {n} minus {n}.",
+    "What is {n} percent of {n}?",
+    "Who met {name} in {n}?",
+    "What is {n} squared?",
+    "How many pages are {n} {unit} of reading?",
+    "Does {name} still owe {name} {n} dollars?",
+    "Divide {n} by {n} and add {n}.",
+    "When did {name} leave {name} with {n} books?",
+    "{name} walks {n} {unit} before lunch.",
+    "How old was {name} in {n}?",
+)
+
+
+def test_short_questions_with_other_values_are_found():
+    """Items whose literal words are few, in texts of other words, and texts that hold none of them."""
+    rng = random.Random(9)
+    items = [(k, filled(rng, FORMS[k % len(FORMS)])) for k in range(40 * len(FORMS))]
+    templates, found, clean = dec.Templates(), [0] * len(FORMS), 0
+    with np.errstate(over="ignore"):
+        made = dec.Items.of(items)
+        for k, text in items:
+            around = [" ".join(rng.choice(WORDS) for _ in range(30)) for _ in range(2)]
+            got = {x[0] for x in dec.leaks(made, templates, f"{around[0]}. {changed(rng, text)} {around[1]}")}
+            found[k % len(FORMS)] += k in got
+        clean = sum(bool(dec.leaks(made, templates, filled(rng, question(rng)))) for _ in range(300))
+    assert min(found) >= 36, found
+    assert clean <= 3
+
+
+def test_short_items_need_three_literal_words_and_consistent_slots():
+    """A unit without a number before it is a word; a text with other words in its place isn't the item."""
+    with np.errstate(over="ignore"):
+        made, templates = dec.Items.of([(1, "Who met Anna in 1900?"), (2, "Is 5 prime?"), (3, "What is 7 times 7?")]), dec.Templates()
+        hits = lambda text: {x[0] for x in dec.leaks(made, templates, text)}
+        assert hits("He asked who met Carl in 2001 again") == {1}
+        assert hits("Bert met Carl in 2001") == set()
+        assert hits("Is 9 prime?") == set() and hits("Is 5 prime?") == {2}
+        two = dec.Items.of([(4, "Does Anna owe Bert 5 dollars?"), (5, "How many km are 3 miles?")])
+        found = lambda text: {x[0] for x in dec.leaks(two, templates, text)}
+        assert found("Does Carl owe Dora 9 dollars?") == set() and found("Does Anna owe Bert 5 dollars?") == {4}
+        assert found("How many km are 9 feet?") == {5} and found("How many feet are 9 miles?") == set()
+        assert hits("What is 8 times 8?") == {3} and hits("What is 8 times 9?") == set()
