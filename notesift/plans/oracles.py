@@ -173,17 +173,40 @@ def merged(name: str, source: str) -> str:
 
 # -- generated notes ----------------------------------------------------------
 def made() -> str:
-    def piece(literal: str | None, label: str | None, n: int) -> str:
-        if literal is not None:
-            return f"struct_pack(text := {q(literal)}, label := NULL::VARCHAR)"
-        pool = ", ".join(map(q, C.POOLS[label]))
-        return f"struct_pack(text := ([{pool}])[((doc_id * {generator.FACTORS[label]} + {n - 1}) % {len(C.POOLS[label])} + 1)::INT], label := {q(label)})"
+    g = generator
 
-    cases = " ".join(f"WHEN {k} THEN [{', '.join(piece(*p) for p in generator.pieces(generator.SKELETONS[kind]))}]" for k, kind in enumerate(C.NOTE_TYPES))
+    def drawn(purpose: int) -> str:
+        return f"((((doc_id::BIGINT % {g.IDS} + {g.IDS}) % {g.IDS} + {purpose * g.APART}) * {g.FACTORS[0]} % {g.PRIME}) * {g.FACTORS[1]} % {g.PRIME})"
+
+    def one_of(values: list, at: str) -> str:
+        return f"([{', '.join(q(v) if isinstance(v, str) else str(v) for v in values)}])[({at}) + 1]"
+
+    def piece(p: generator.Piece) -> str:
+        text = q(p.text) if p.text is not None else "NULL::VARCHAR"
+        if p.pool is not None and not p.label:
+            of = lists[p.pool]
+            text = one_of(of, f"{drawn(p.purpose)} % {len(of)}")
+        elif p.before is not None:
+            text = f"{q(p.before)} || ({p.low} + {drawn(p.purpose)} % {p.n})::VARCHAR"
+        return f"struct_pack(text := {text}, label := {q(p.label) if p.label else 'NULL::VARCHAR'})"
+
+    def choice(c: generator.Choice) -> str:
+        cases = " ".join(f"WHEN {k} THEN [{', '.join(map(piece, v))}]" for k, v in enumerate(c.variants))
+        return f"CASE {drawn(c.purpose)} % {len(c.variants)} {cases} END"
+
+    def draw(n: int, size: int) -> str:
+        step = one_of(g.steps(size), f"{drawn(2 * n)} % {len(g.steps(size))}")
+        return f"(k * {step} + {drawn(2 * n + 1)}) % {size}"
+
+    lists = list(g.LISTS.values())
+    cases = " ".join(f"WHEN {k} THEN {' || '.join(map(choice, c))}" for k, c in enumerate(g.notes_compiled().values()))
     kinds = ", ".join(map(q, C.NOTE_TYPES))
+    draws = " ".join(f"WHEN {q(label)} THEN {one_of(pool, draw(n, len(pool)))}" for n, (label, pool) in enumerate(C.POOLS.items()))
     return f"""made_p AS (SELECT doc_id, ([{kinds}])[(doc_id % 5 + 1)::INT] AS note_type, CASE doc_id % 5 {cases} END AS p FROM documents),
       made_e AS (SELECT doc_id, note_type, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM made_p),
-      made_s AS (SELECT doc_id, note_type, i, x.text AS text, x.label AS label, COALESCE(SUM(length(x.text)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS "start" FROM made_e),
+      made_k AS (SELECT doc_id, note_type, i, x.text AS raw, x.label AS label, row_number() OVER (PARTITION BY doc_id, x.label ORDER BY i) - 1 AS k FROM made_e),
+      made_d AS (SELECT doc_id, note_type, i, label, COALESCE(raw, CASE label {draws} END) AS text FROM made_k),
+      made_s AS (SELECT doc_id, note_type, i, text, label, COALESCE(SUM(length(text)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS "start" FROM made_d),
       made AS (SELECT doc_id, note_type, string_agg(text, '' ORDER BY i) AS text FROM made_s GROUP BY doc_id, note_type),
       gold AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS ord, text, label, "start", ("start" + length(text))::INT AS "end" FROM made_s WHERE label IS NOT NULL)"""
 
