@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from notesift.functions import constants as C
 
+#: Places of rows that are made at a time.
+PLACES = 1 << 18
 ROW = "doc_id long, input_ids array<int>, attention_mask array<int>, word_ids array<int>, labels array<int>, words_cut int"
 
 
@@ -37,9 +39,11 @@ def dataset(records: DataFrame, tokenizer_path: str, frame: tuple[int, int, int]
     where the workers run. A word without subwords has no place.
     """
 
+    rows = max(PLACES // size, 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in (some.slice(at, rows) for some in batches for at in range(0, some.num_rows, rows)):
             docs, words, tags = (batch.column(k).to_pylist() for k in range(3))
             made = []
             for w, t in zip(words, tags, strict=True):
