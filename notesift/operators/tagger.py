@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from notesift.functions import constants as C
 from notesift.operators import evaluation
@@ -25,6 +26,9 @@ WORD = re.compile(r"[^\s\x1c-\x1f]+")
 #: Rows of the table of weights.
 BUCKETS = 1 << 14
 TAGS = len(C.TAGS)
+FEATURES = 11
+#: Words whose gradient is worked out at a time, and rows that are prepared at a time.
+WORDS, ROWS = 4096, 256
 #: Subwords of a window, two of them special; words beyond it get no prediction.
 WINDOW = 512
 
@@ -38,14 +42,28 @@ def _shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", word))))
 
 
+@lru_cache(maxsize=200_000)
+def _own(word: str) -> tuple[int, ...]:
+    """Buckets of a word itself, its ends and its shape."""
+    low = word.lower()
+    return tuple(_bucket(x) for x in (f"w {low}", f"p {low[:3]}", f"s {low[-3:]}", f"f {_shape(word)}"))
+
+
+@lru_cache(maxsize=200_000)
+def _beside(low: str) -> tuple[int, ...]:
+    """Buckets of a word as a neighbour."""
+    return tuple(_bucket(f"{at} {low}") for at in ("-1", "-2", "+1", "+2"))
+
+
 def features(words: list[str]) -> np.ndarray:
     """Buckets of each word's features: itself, its ends, its shape and its neighbours."""
     low = ["<s>", "<s>", *[w.lower() for w in words], "</s>", "</s>"]
+    near, bias = [_beside(w) for w in low], _bucket("bias")
     out = [
-        [_bucket(x) for x in (f"w {w}", f"p {w[:3]}", f"s {w[-3:]}", f"f {_shape(words[k])}", f"-1 {low[k + 1]}", f"-2 {low[k]}", f"+1 {low[k + 3]}", f"+2 {low[k + 4]}", f"b {low[k + 1]} {w}", f"c {w} {low[k + 3]}", "bias")]
-        for k, w in enumerate(low[2:-2])
+        (*_own(w), near[k + 1][0], near[k][1], near[k + 3][2], near[k + 4][3], _bucket(f"b {low[k + 1]} {low[k + 2]}"), _bucket(f"c {low[k + 2]} {low[k + 3]}"), bias)
+        for k, w in enumerate(words)
     ]
-    return np.array(out, dtype=np.int64).reshape(len(words), 11)
+    return np.array(out, dtype=np.int64).reshape(len(words), FEATURES)
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -53,18 +71,35 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def gradient(weights: np.ndarray, words: list[str], tags: np.ndarray, class_weights: np.ndarray, into: np.ndarray) -> tuple[float, float]:
-    """Adds the gradient of the weighted cross-entropy of one document to ``into``; its loss and the sum of its words' weights."""
-    x = features(words)
+def gradient(weights: np.ndarray, x: np.ndarray, tags: np.ndarray, class_weights: np.ndarray, into: np.ndarray) -> tuple[float, float]:
+    """Adds the gradient of the weighted cross-entropy of words with features ``x`` to ``into``; their loss and the sum of their weights."""
     p = softmax(weights[x].sum(axis=1))
     w = class_weights[tags]
     rows = np.arange(len(tags))
     loss = float(-(w * np.log(np.maximum(p[rows, tags], 1e-12))).sum())
     p[rows, tags] -= 1
-    np.add.at(into, x.ravel(), np.repeat(p * w[:, None], x.shape[1], axis=0))
+    at = x.ravel()
+    for k in range(TAGS):
+        into[:, k] += np.bincount(at, np.repeat(p[:, k] * w, x.shape[1]), BUCKETS)
     return loss, float(w.sum())
 
 
+def prepared(records: DataFrame) -> DataFrame:
+    """``doc_id``, ``tokens`` and ``tag_ids`` of ``records`` and ``x``, the features of their words as 16-bit numbers: worked out once, not in each epoch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (some.slice(at, ROWS) for some in batches for at in range(0, some.num_rows, ROWS)):
+            x = [features(words or []).astype("<u2").tobytes() for words in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.binary())], [*batch.schema.names, "x"])
+
+    rows = records.select("doc_id", "tokens", "tag_ids")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("x", BinaryType())]))
+
+
+def _unpacked(x: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x), dtype="<u2").reshape(-1, FEATURES).astype(np.int64)
+
+
 @dataclass
 class Adam:
     """Adaptive steps with a linear warm-up and a linear decay."""
@@ -84,23 +119,23 @@ class Adam:
 
 
 def summed(records: DataFrame, weights: np.ndarray, class_weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """Mean gradient and loss over all ``records`` (``tokens``, ``tag_ids``): sums by feature within partitions, then over them."""
+    """Mean gradient and loss over all ``records`` (``x``, ``tag_ids``): sums by feature within partitions, then over them."""
     sent = records.sparkSession.sparkContext.broadcast((weights, class_weights))  # BUCKETS x TAGS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, by = sent.value
         into, loss, total = np.zeros_like(w), 0.0, 0.0
-        for batch in batches:
-            for words, tags in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if words:
-                    some = gradient(w, words, np.array(tags), by, into)
-                    loss, total = loss + some[0], total + some[1]
+        for batch in (some.slice(at, ROWS) for some in batches for at in range(0, some.num_rows, ROWS)):
+            x, tags = _unpacked(batch.column(0).to_pylist()), batch.column(1).flatten().to_numpy()
+            for at in range(0, len(x), WORDS):
+                some = gradient(w, x[at : at + WORDS], tags[at : at + WORDS], by, into)
+                loss, total = loss + some[0], total + some[1]
         hit = np.flatnonzero(into.any(axis=1))
         sums = [np.append(into[hit, k], loss if k == 0 else total if k == 1 else 0.0) for k in range(TAGS)]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), *map(pa.array, sums)], ["feature", *[f"g{k}" for k in range(TAGS)]])
 
     columns = [f"g{k}" for k in range(TAGS)]
-    rows = records.select("tokens", "tag_ids").mapInArrow(run, "feature long, " + ", ".join(f"{c} double" for c in columns))
+    rows = records.select("x", "tag_ids").mapInArrow(run, "feature long, " + ", ".join(f"{c} double" for c in columns))
     got = rows.groupBy("feature").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()  # at most BUCKETS + 1 rows
     sent.destroy()
     feature, values = got.column(0).to_numpy(), np.stack([got.column(c).to_numpy() for c in columns], axis=1)
@@ -112,17 +147,21 @@ def summed(records: DataFrame, weights: np.ndarray, class_weights: np.ndarray) -
 
 def tagged(records: DataFrame, weights: np.ndarray) -> DataFrame:
     """``doc_id``, ``pos``, ``token``, ``true_id``, ``pred_id`` and ``conf`` of every word of ``records``."""
+    records = records if "x" in records.columns else prepared(records)
     sent = records.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, words, tags in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if words:
-                    p = softmax(sent.value[features(words)].sum(axis=1))
-                    cells = [[doc] * len(words), np.arange(len(words), dtype=np.int32), words, np.array(tags, dtype=np.int32), p.argmax(axis=1).astype(np.int32), p.max(axis=1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["doc_id", "pos", "token", "true_id", "pred_id", "conf"])
+        for batch in (some.slice(at, ROWS) for some in batches for at in range(0, some.num_rows, ROWS)):
+            x, sizes = _unpacked(batch.column(3).to_pylist()), [len(words or []) for words in batch.column(1).to_pylist()]
+            if not len(x):
+                continue
+            p = np.concatenate([softmax(sent.value[x[at : at + WORDS]].sum(axis=1)) for at in range(0, len(x), WORDS)])
+            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            docs = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
+            cells = [docs, pa.array(pos), batch.column(1).flatten(), batch.column(2).flatten(), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(p.max(axis=1))]
+            yield pa.RecordBatch.from_arrays(cells, ["doc_id", "pos", "token", "true_id", "pred_id", "conf"])
 
-    return records.select("doc_id", "tokens", "tag_ids").mapInArrow(run, "doc_id long, pos int, token string, true_id int, pred_id int, conf double")
+    return records.select("doc_id", "tokens", "tag_ids", "x").mapInArrow(run, "doc_id long, pos int, token string, true_id int, pred_id int, conf double")
 
 
 @dataclass
@@ -143,7 +182,7 @@ def trained(train: DataFrame, val: DataFrame, class_weights: list[float] | None
     weights = np.zeros((BUCKETS, TAGS))
     optimizer = Adam(rate, max(epochs // 10, 1), epochs)
     best, out, waited = -1.0, Trained(weights, []), 0
-    train, val = train.persist(), val.persist()
+    train, val = prepared(train).persist(), prepared(val).persist()
     for epoch in range(1, epochs + 1):
         g, loss = summed(train, weights, by)
         weights = optimizer.step(weights, g)
