@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import timeit
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,27 @@ def test_time_follows_the_length(spark):
         began = time.time()
         made.write.format("noop").mode("overwrite").save()
         assert time.time() - began < 30, name
+
+
+def test_patterns_that_begin_words_are_found_at_the_same_places():
+    """Trying only the places where a word begins with a fit character gives what a search gives, overlaps and boundaries included."""
+    rng = random.Random(3)
+    bits = ["1", "12", "2024-01-02", "01/02/2023", "January", " 5, 2024", "May 2020", "mg", " mg", "5 mL", "every 6 hours", "é", "_", " ", "\n", "x", "٣", "3.5", "/", "-", "Q8H", ","]
+    for pattern, flags, begins in ((C.DOSAGE, re.IGNORECASE, r"\d"), (C.DATE, 0, r"\dJFMASOND")):
+        whole, start = re.compile(pattern, flags), re.compile(rf"[{begins}](?<!\w.)")
+        hits = 0
+        for _ in range(4000):
+            text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+            want = [m.span() for m in whole.finditer(text)]
+            assert [m.span() for m in kernel.matches(text, whole, start)] == want
+            hits += len(want)
+        assert hits > 300
+
+
+def test_words_without_matches_are_passed_quickly():
+    """A search that stops at each letter took several times as long."""
+    text = "lorem ipsum dolor sit amet consectetur " * 40_000
+    took = lambda f: min(timeit.repeat(f, number=1, repeat=3))
+    for pattern, flags, begins in ((C.DOSAGE, re.IGNORECASE, r"\d"), (C.DATE, 0, r"\dJFMASOND")):
+        whole, start = re.compile(pattern, flags), re.compile(rf"[{begins}](?<!\w.)")
+        assert 1.5 * took(lambda: list(kernel.matches(text, whole, start))) < took(lambda: list(whole.finditer(text)))  # noqa: B023
