@@ -44,7 +44,7 @@ TEMPLATE, PLAIN = 4, 3
 #: Items that are held in memory at once.
 BLOCK = 5_000
 #: Tokens of a worker's cache; it is cleared when full.
-CACHE = 150_000
+CACHE = 300_000
 UNITS = frozenset(
     "mm cm m km meter meters metre metres kilometer kilometers kilometre kilometres inch inches ft foot feet yard yards mile miles "
     "mg g kg gram grams kilogram kilograms oz ounce ounces lb lbs pound pounds ton tons ml l liter liters litre litres gallon gallons cup cups "
@@ -53,7 +53,10 @@ UNITS = frozenset(
 )
 NUMBER = re.compile(r"[+-]?\d[\d.,:/]*\Z")
 ATTACHED = re.compile(r"(?<=\d)(?=[^\W\d_%])")
+ANY_ATTACHED = re.compile(r"\d[^\W\d_%]")
 OUTER = re.compile(r"\A[\W_]+|[\W_]+\Z")
+#: What may follow a plain word in its token, and what of it ends a sentence or line.
+AFTER, STOPS = "\x02.,;:!?", "\x02.:!?"
 CAPITAL, ENDS, NUMERIC, UNIT = 1, 2, 4, 8
 #: Codes of the placeholders.
 NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = np.uint64(1), np.uint64(2), np.uint64(3)
@@ -62,6 +65,11 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def code(token: str) -> int:
     """A hash of the literal token with flags in the low bits."""
+    word = token.rstrip(AFTER)
+    if word.isalpha():  # most tokens: a word, and what ends it
+        lower = word.lower()
+        flags = ENDS * (token[-1] in STOPS) | UNIT * (lower in UNITS) | CAPITAL * (word[0].isupper() and not word[1:].isupper())
+        return xxhash.xxh64_intdigest(lower.encode("utf-8", "surrogatepass")) & ~15 | flags
     ends = token[-1] == "\x02" or token.rstrip("\x02)\"'”’»")[-1:] in (".", "!", "?", ":")
     word = OUTER.sub("", token)
     flags = ENDS * ends
@@ -72,30 +80,30 @@ def code(token: str) -> int:
     return xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass")) & ~15 | flags
 
 
+class Codes(dict[str, int]):
+    """Codes of the tokens seen so far."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = found = code(token)
+        return found
+
+
 class Templates:
     """Template tokens of texts; codes of raw tokens are looked up."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Codes()
 
     def tokens(self, text: str | None) -> list[str]:
         text = text or ""
-        if ATTACHED.search(text):
+        if ANY_ATTACHED.search(text):
             text = ATTACHED.sub(" ", text)
         return text.replace("\n", "\x02 ").split()
 
     def raw(self, tokens: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
             self.known.clear()
-        known = self.known
-        try:
-            raw = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-        except KeyError:
-            for t in set(tokens):
-                if t not in known:
-                    known[t] = code(t)
-            raw = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-        return raw
+        return np.fromiter(map(self.known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
     def codes(self, tokens: list[str]) -> np.ndarray:
         return Coded.of(self.raw(tokens)).template
@@ -220,8 +228,9 @@ def leaks(items: Items, templates: Templates, text: str | None) -> list[tuple[in
     loose = coded.loose(items.names)
     for key, table in items.tables.items():
         h = windows(loose if key[0] else coded.plain, key[1])
-        for i in np.flatnonzero(items.bitmaps[key][h >> np.uint64(44)]).tolist():
-            for k, at in table.get(int(h[i]), ()):
+        hits = np.flatnonzero(items.bitmaps[key][h >> np.uint64(44)])
+        for i, x in zip(hits.tolist(), h[hits].tolist(), strict=True):
+            for k, at in table.get(x, ()):
                 diagonals.add((k, i - at))
     found = set()
     for k, shift in diagonals:

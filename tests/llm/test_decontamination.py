@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from notesift.llm import decontamination as dec
 
@@ -100,3 +101,36 @@ def test_blocks_give_the_same(spark, monkeypatch):
 @pytest.mark.parametrize("n", [1, 7])
 def test_windows_need_their_size(n):
     assert len(dec.windows(np.arange(n, dtype=np.uint64), 8)) == 0
+
+
+def test_codes_of_tokens():
+    """Codes follow the rules for outer punctuation, ends, units and capitals, whichever way a token is taken apart."""
+
+    def plain(token):
+        ends = token[-1] == "\x02" or token.rstrip("\x02)\"'”’»")[-1:] in (".", "!", "?", ":")
+        word = dec.OUTER.sub("", token)
+        flags = dec.ENDS * ends
+        if dec.NUMBER.match(word):
+            flags |= dec.NUMERIC
+        else:
+            flags |= dec.UNIT * (word.lower() in dec.UNITS) | dec.CAPITAL * (word[:1].isupper() and not word[1:].isupper())
+        return xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass")) & ~15 | flags
+
+    rng = random.Random(6)
+    cores = ["word", "Word", "WORD", "w", "W", "İx", "ß", "miles", "Km", "été", "\u0345a", "a_b", "a-b", "12", "3.5", "x2", "", "中文", "ǅa", "ªb"]
+    outer = ["", "", ".", ",", "?", "\x02", ".\x02", ":", ")", ".)", "_", '"', "!?", ",\x02", "»", ";"]
+    for _ in range(4000):
+        token = rng.choice(outer) + rng.choice(cores) + rng.choice(outer)
+        if token:
+            assert dec.code(token) == plain(token), token
+
+
+def test_new_tokens_are_coded_once(monkeypatch):
+    """A text with tokens not seen before isn't gone through twice."""
+    asked = []
+    known = dec.code
+    monkeypatch.setattr(dec, "code", lambda token: asked.append(token) or known(token))
+    templates = dec.Templates()
+    assert templates.raw(["a", "b", "a"]).tolist() == [known("a"), known("b"), known("a")] and asked == ["a", "b"]
+    templates.raw(iter_once := ["b", "c"])
+    assert asked == ["a", "b", "c"] and iter_once == ["b", "c"]
