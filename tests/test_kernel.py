@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from notesift.functions import clean, extract, kernel
 from notesift.functions import constants as C
+from notesift.operators import notes as path
 
 RNG = random.Random(7)
 PIECES = [*list(C.ABBREVIATIONS)[:60], *C.MEDICATIONS[:12], *C.DIAGNOSES[:12], "5mg", "é", "😀", " ", " ", "x", "/", "2", "İ", "K", "ſ", "ı", "ASPIRIN", "\n", "\x01", "\x02", "SSN 123-45-6789"]
@@ -111,3 +112,21 @@ def test_words_without_matches_are_passed_quickly():
     for pattern, flags, begins in ((C.DOSAGE, re.IGNORECASE, r"\d"), (C.DATE, 0, r"\dJFMASOND")):
         whole, start = re.compile(pattern, flags), re.compile(rf"[{begins}](?<!\w.)")
         assert 1.5 * took(lambda: list(kernel.matches(text, whole, start))) < took(lambda: list(whole.finditer(text)))  # noqa: B023
+
+
+@pytest.mark.parametrize("how", [{}, {"preserve": False}, {"expand_abbrevs": False}, {"mask_phi": False}])
+def test_expansion_and_masking_take_one_worker(spark, how):
+    """The steps at once give what they give one by one, and a task of the path has two workers at most: this one and that of Unicode's composed form."""
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate([*TEXTS, *[f"{t}\nMr. Smith SSN 123-45-6789 call 555-123-4567" for t in TEXTS[:40]], None])], "doc_id int, text string")
+    done = path.preprocess(frame, **how).select("doc_id", "cleaned_text", "abbreviations_expanded", "phi_spans")
+    text = spark.createDataFrame(frame.select("doc_id", clean.clean_text(F.col("text")).alias("t")).collect(), "doc_id int, t string")
+    if how.get("expand_abbrevs", True):
+        text = text.withColumn("a", clean.find_abbreviations(F.col("t"))).withColumn("t", clean.expand(F.col("t"), F.col("a"), how.get("preserve", True)))
+    text = spark.createDataFrame(text.collect(), text.schema)
+    if how.get("mask_phi", True):
+        text = text.withColumn("p", clean.detect_phi(F.col("t"))).withColumn("t", clean.mask(F.col("t"), F.col("p")))
+    got, want = ({r.doc_id: r for r in some.collect()} for some in (done, text))
+    for k, r in want.items():
+        assert (got[k].cleaned_text, got[k].abbreviations_expanded, got[k].phi_spans) == (r.t, getattr(r, "a", []), getattr(r, "p", []))
+    plan = done.select("doc_id", "cleaned_text")._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("ArrowEvalPython") <= 2
