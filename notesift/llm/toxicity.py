@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notesift.llm.common import unused
+from notesift.llm.common import discard, stored, unused
 from notesift.llm.training import fitted, labelled_sample
 
 WORD = re.compile(r"\w+")
@@ -54,15 +54,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _screen(docs: list[Counter], toxic: np.ndarray, most: int) -> dict[str, int]:
-    """Terms whose share of documents differs between the classes (|z| >= 4), the clearest first."""
+def _documents(texts: Iterable[str], toxic: Iterable[bool], most: int = 1 << 16) -> Iterator[tuple[Counter, Counter]]:
+    """Documents and toxic documents with each term, in parts of about ``most`` terms."""
     seen, bad = Counter(), Counter()
-    for words, y in zip(docs, toxic, strict=True):
-        own = {t for w in words for t in terms(w)}
+    for text, y in zip(texts, toxic, strict=True):
+        own = {t for w in set(WORD.findall(text.lower())) for t in terms(w)}
         seen.update(own)
         if y:
             bad.update(own)
-    n, m, out = len(docs), int(toxic.sum()), []
+        if len(seen) > most:
+            yield seen, bad
+            seen, bad = Counter(), Counter()
+    yield seen, bad
+
+
+def _screen(texts: list[str], toxic: np.ndarray, most: int) -> dict[str, int]:
+    """Terms whose share of documents differs between the classes (|z| >= 4), the clearest first."""
+    seen, bad = Counter(), Counter()
+    for part in _documents(texts, toxic):
+        seen.update(part[0])
+        bad.update(part[1])
+    n, m, out = len(texts), int(toxic.sum()), []
     for t, k in seen.items():
         if k >= 4 and 0 < m < n:
             p = k / n
@@ -72,6 +84,10 @@ def _screen(docs: list[Counter], toxic: np.ndarray, most: int) -> dict[str, int]
     return {t: k for k, (_, t) in enumerate(sorted(out)[:most])}
 
 
+def _beginnings(index: dict[str, int]) -> frozenset[str]:
+    return frozenset(t[:5] for t in index if t.endswith("*"))
+
+
 def _vector(words: Counter, total: int, index: dict[str, int], first: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
     found: Counter[int] = Counter()
     for w, n in words.items():
@@ -83,19 +99,24 @@ def _vector(words: Counter, total: int, index: dict[str, int], first: frozenset[
     return at, rate(np.fromiter(found.values(), dtype=np.float64, count=len(found)), np.float64(total))
 
 
+def _counted(text: str, index: dict[str, int], first: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    words = WORD.findall(text.lower())
+    return _vector(Counter(words), len(words), index, first)
+
+
 def fit(texts: list[str], labels: list[int], most: int = 4096, steps: int = 400, penalty: float = 1e-4) -> Model:
-    docs = [Counter(WORD.findall(t.lower())) for t in texts]
     toxic = np.array([y > 0 for y in labels])
-    index = _screen(docs, toxic, most)
-    first = frozenset(t[:5] for t in index if t.endswith("*"))
-    rows, cols, values = [], [], []
-    for k, words in enumerate(docs):
-        at, x = _vector(words, sum(words.values()), index, first)
-        rows.append(np.full(len(at), k))
-        cols.append(at)
-        values.append(x)
-    row, col, val = np.concatenate(rows), np.concatenate(cols).astype(np.int64), np.concatenate(values)
-    n, m = len(texts), len(index)
+    index = _screen(texts, toxic, most)
+    first = _beginnings(index)
+    found = [_counted(t, index, first) for t in texts]
+    return _solved([x[0] for x in found], [x[1] for x in found], toxic, index, steps, penalty)
+
+
+def _solved(cols: list[np.ndarray], values: list[np.ndarray], toxic: np.ndarray, index: dict[str, int], steps: int = 400, penalty: float = 1e-4) -> Model:
+    """The model of documents whose terms (places in ``index``) and values are given."""
+    row = np.repeat(np.arange(len(cols)), [len(x) for x in cols])
+    col, val = np.concatenate(cols).astype(np.int64), np.concatenate(values)
+    n, m = len(cols), len(index)
 
     # grades: toxic rows by the density of positive evidence
     base = np.bincount(col, val, m) if len(col) else np.zeros(m)
@@ -127,22 +148,60 @@ def fit(texts: list[str], labels: list[int], most: int = 4096, steps: int = 400,
             moves.append(0.05 * mo[0] / (1 - 0.9**step) / (np.sqrt(mo[1] / (1 - 0.999**step)) + 1e-8))
         w = w - moves[0]
         cut, gap = cut - moves[1][0], gap - moves[1][1]
-    return Model(index, first, w, np.array([cut, cut + np.exp(gap)]))
+    return Model(index, _beginnings(index), w, np.array([cut, cut + np.exp(gap)]))
 
 
 def severity(model: Model | None, text: str | None) -> tuple[float, float]:
     """The expected grade and the probability of any toxicity."""
     if model is None:
         return 0.0, 0.0
-    words = WORD.findall((text or "").lower())
-    at, x = _vector(Counter(words), len(words), model.index, model.first)
+    at, x = _counted(text or "", model.index, model.first)
     above = 1 - _sigmoid(model.thresholds - (model.weights[at] * x).sum())
     return float(above.sum()), float(above[0])
 
 
-def learned(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, fold: int = 5) -> Model | None:
-    """The model of a sample of at most ``max_rows`` labelled rows outside the held-out fold."""
-    return fitted(labelled_sample(docs, labels, "toxic", max_rows, fold=fold), fit)
+def _index(sample: DataFrame, n: int, m: int, most: int) -> dict[str, int]:
+    """As ``_screen``, of ``n`` rows of which ``m`` are toxic; only the terms that stay reach the driver."""
+    if not 0 < m < n:
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for seen, bad in _documents((x.as_py() for x in batch.column(1)), (x.as_py() > 0 for x in batch.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([bad[t] for t in seen], pa.int64())], ["term", "seen", "bad"])
+
+    counts = sample.select("label", "text").mapInArrow(run, "term string, seen long, bad long").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).where("seen >= 4")
+    p = F.col("seen") / n
+    z = (F.col("bad") / m - (F.col("seen") - F.col("bad")) / (n - m)) / F.sqrt(p * (1 - p) * (1 / m + 1 / (n - m)) + 1e-12)
+    got = counts.select("term", F.abs(z).alias("z")).where("z >= 4").orderBy(F.desc("z"), "term").limit(most).collect()
+    return {r.term: k for k, r in enumerate(got)}
+
+
+def learned(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, fold: int = 5, most: int = 4096) -> Model | None:
+    """The model of a sample of at most ``max_rows`` labelled rows outside the held-out fold.
+
+    The same as ``fit`` of the sample, whose texts are counted where they lie: the
+    task that fits has the numbers of their terms only.
+    """
+    spark = docs.sparkSession
+    sample, path = stored(labelled_sample(docs, labels, "toxic", max_rows, fold=fold), "toxicity-sample")
+    n, m = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0))).first()
+    if not n:
+        discard(spark, path)
+        return None
+    index = _index(sample, n, m, most)
+    shared = spark.sparkContext.broadcast((index, _beginnings(index)))  # at most ``most`` terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_counted(x.as_py(), *shared.value) for x in batch.column(2)]
+            cols, values = pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cols, values], ["id", "label", "cols", "values"])
+
+    counted = sample.select("id", "label", "text").mapInArrow(run, "id long, label int, cols array<long>, values array<double>")
+    model = fitted(counted, lambda label, cols, values: _solved(cols, values, np.array(label) > 0, index), ("label", "cols", "values"))
+    discard(spark, path)
+    return model
 
 
 def judged(spark: SparkSession, model: Model | None) -> Callable[[Column], Column]:

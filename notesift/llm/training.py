@@ -38,12 +38,12 @@ def labelled_sample(
     return texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
 
-def fitted(sample: DataFrame, fit: Callable[[list[str], list[int]], Any]) -> Any:
-    """``fit(texts, labels)`` of the whole sample, run on an executor; None without rows."""
+def fitted(sample: DataFrame, fit: Callable[..., Any], columns: tuple[str, ...] = ("text", "label")) -> Any:
+    """``fit`` of the lists of ``columns`` of the whole sample by id, run on an executor; None without rows."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        return pd.DataFrame({"model": [pickle.dumps(fit(rows["text"].tolist(), rows["label"].tolist()))]})
+        return pd.DataFrame({"model": [pickle.dumps(fit(*[rows[c].tolist() for c in columns]))]})
 
     got = sample.withColumn("one task", F.lit(1)).groupBy("one task").applyInPandas(run, "model binary").collect()
     return pickle.loads(bytes(got[0].model)) if got else None

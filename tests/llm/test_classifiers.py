@@ -85,3 +85,15 @@ def test_queries_cover_every_document(spark):
     for name in ("op2_toxicity", "op10_quality"):
         rows = queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
         assert len(rows) == n and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def test_the_task_that_fits_severity_holds_no_texts(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    given = []
+    monkeypatch.setattr(toxicity, "fitted", lambda sample, *more: given.append(sample) or training.fitted(sample, *more))
+    model = toxicity.learned(docs, labels)
+    assert [f.dataType.simpleString() for f in given[0].schema] == ["bigint", "int", "array<bigint>", "array<double>"]
+    rows = sorted(training.labelled_sample(docs, labels, "toxic", 10_000).collect(), key=lambda r: r.id)
+    plain = toxicity.fit([r.text for r in rows], [r.label for r in rows])
+    assert model.index == plain.index and model.first == plain.first and len(plain.index) > 5
+    assert np.allclose(model.weights, plain.weights, atol=1e-12) and np.allclose(model.thresholds, plain.thresholds, atol=1e-12)
