@@ -58,3 +58,58 @@ def test_prefixes_of_alike_sets_meet():
         x = np.sort(x)
         if simhash.alike(len(np.intersect1d(x, y)), len(x), len(y)):
             assert np.intersect1d(x[: simhash.prefix(len(x))], y[: simhash.prefix(len(y))]).size
+
+
+def test_equal_texts_are_searched_once(spark, monkeypatch):
+    # two shingles that have few bits in common: near the fingerprint zero of empty texts, but not alike
+    near = next(t for k in range(20_000) if 0 < int(np.bitwise_count(simhash.fingerprint(t := f"a{k} b{k} c{k} d{k} e{k} f{k}", 5, 8)).sum()) <= simhash.LOOSE)
+    rows = [(k, "" if k % 2 else " \t") for k in range(300)] + [(300, near), (301, near.upper()), (302, near + " more")]
+    counts, stored = {}, simhash.stored
+
+    def counted(df, label):
+        found = stored(df, label)
+        counts[label] = found[0].count()
+        return found
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    got = {r.id: r.component for r in simhash.verified_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: 0 for k in range(300)} | {300: 300, 301: 300, 302: 302}
+    assert counts["near-pairs"] <= 3 and counts["doubtful"] <= 3
+
+
+def test_pairs_apart_are_those_of_all_pairs():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, (4, 8), dtype=np.uint64)
+    fps = base[rng.integers(0, 4, 300)] ^ (np.uint64(1) << rng.integers(0, 64, (300, 8), dtype=np.uint64))
+    grp = rng.integers(0, 9, 300).astype(np.uint64)
+    cells = [np.append(f, g).astype(">u8").tobytes() for f, g in zip(fps, grp, strict=True)]
+    all_ = {(i, j) for i in range(300) for j in range(i + 1, 300) if grp[i] != grp[j] and np.bitwise_count(fps[i] ^ fps[j]).sum() <= 14}
+    assert all_ and set(map(tuple, simhash._apart(cells, 8, 14).tolist())) == all_
+    assert len(simhash._apart([c[:64] + bytes(8) for c in cells], 8, 512)) == 0
+
+
+def test_large_buckets_are_spanned_by_blocks():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**64, (1000, 8), dtype=np.uint64)
+    fps[500:900] = fps[rng.integers(0, 40, 400)] ^ (np.uint64(1) << rng.integers(0, 64, (400, 8), dtype=np.uint64))
+    calls = []
+
+    def near(a, b):
+        calls.append(len(a))
+        return simhash._within(fps[a], fps[b], 16)
+
+    got = simhash.spanned(1000, near)
+    assert len(got) == 400
+    label = simhash.joined(np.arange(1000), got[:, 0], got[:, 1])
+    i, j = simhash._within(fps, fps, 16)
+    assert (label[i] == label[j]).all() and len(np.unique(label)) == 600
+    assert len(calls) < 100  # not one for each member without a link
+
+
+def test_sets_of_short_texts_are_told_from_their_beginning():
+    words = [f"w{k}" for k in range(400)]
+    for text in ("", None, "one two", " ".join(words[:84]), " ".join(words[:85]), " ".join(words), "again and again " * 2000, "again and again " * 2000 + " ".join(words)):
+        whole = simhash.shingle_set(text, 5)
+        found = simhash.small_set(text, 5, 80)
+        assert (found is None) == (not 0 < len(whole) <= 80)
+        assert found is None or (found == whole).all()
