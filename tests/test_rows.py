@@ -110,3 +110,15 @@ def test_a_query_does_what_its_columns_need(spark):
     steps = {name: plan(entry.queries()[name](spark, SF)).count("ArrowEvalPython") for name in ("scorer_stub", "dedup_entities", "resolve_overlaps", "confidence_routing", "context_snippet", "postprocess")}
     most = steps.pop("postprocess")
     assert max(steps.values()) < most
+
+
+def test_tokens_are_made_without_a_shuffle(spark):
+    assert "Exchange" not in plan(entry.queries()["whitespace_tokens"](spark, SF))
+
+
+def test_tokens_of_odd_texts(spark):
+    texts = [None, "", " \n\t ", "one", " a  b c d\x1fe\x85f ", "é😀 x😀​y", "\x01a b\x01", "long " * 70_000]
+    rows = [(k, t) for k, t in enumerate(texts)] * 2
+    got = sorted(labeling.tokens(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = sorted((k, p, m[0], m.start(), m.end()) for k, t in rows for p, m in enumerate(re.finditer(r"[^\s\x1c-\x1f]+", t or "")))
+    assert got and list(map(tuple, got)) == want
