@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -182,7 +183,7 @@ def trained(train: DataFrame, val: DataFrame, class_weights: list[float] | None
     weights = np.zeros((BUCKETS, TAGS))
     optimizer = Adam(rate, max(epochs // 10, 1), epochs)
     best, out, waited = -1.0, Trained(weights, []), 0
-    train, val = prepared(train).persist(), prepared(val).persist()
+    train, val = (prepared(some).persist(StorageLevel.DISK_ONLY) for some in (train, val))  # no executor's memory holds what each epoch reads
     for epoch in range(1, epochs + 1):
         g, loss = summed(train, weights, by)
         weights = optimizer.step(weights, g)

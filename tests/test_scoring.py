@@ -111,3 +111,15 @@ def test_merging_tags():
     spans = [(0, 1), (2, 3), (4, 5), (6, 7)]
     assert tagger.merged(text, spans, ["B-DATE", "I-DATE", "I-DOSAGE", "I-DATE"], [0.9, 0.8, 1, 1]) == [("a b", "DATE", 0, 3, 0.8)]
     assert tagger.merged(text, spans, ["I-DATE", "B-DATE", "B-DATE", "O"], [1, 0.5, 0.6, 1]) == [("b", "DATE", 2, 3, 0.5), ("c", "DATE", 4, 5, 0.6)]
+
+
+def test_training_keeps_nothing_in_executors_memory(spark, monkeypatch):
+    from notesift.plans import catalog
+
+    frame, levels = type(spark.range(1)), []
+    persist = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda self, *level: levels.append(level) or persist(self, *level))
+    monkeypatch.setattr(tagger, "trained", lambda train, val, by, f=tagger.trained: f(train, val, by, epochs=1))
+    found = catalog.QUERIES["ner_training"](spark, "/root/testdata/sf0.001")
+    assert found.count() == 1
+    assert len(levels) == 3 and not any(level[0].useMemory for level in levels)
