@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,27 +31,33 @@ TAGS = len(C.TAGS)
 FEATURES = 11
 #: Words whose gradient is worked out at a time, and rows that are prepared at a time.
 WORDS, ROWS = 4096, 256
+#: Words that a worker remembers the features, or the number of subwords, of.
+KNOWN = 50_000
 #: Subwords of a window, two of them special; words beyond it get no prediction.
 WINDOW = 512
 
 
-@lru_cache(maxsize=200_000)
 def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+BIAS = _bucket("bias")
+#: Where the checksums of a word with the one before it and the one after it begin.
+BEFORE, AFTER = zlib.crc32(b"b "), zlib.crc32(b"c ")
+
+
 def _shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", word))))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=KNOWN)
 def _own(word: str) -> tuple[int, ...]:
     """Buckets of a word itself, its ends and its shape."""
     low = word.lower()
     return tuple(_bucket(x) for x in (f"w {low}", f"p {low[:3]}", f"s {low[-3:]}", f"f {_shape(word)}"))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=KNOWN)
 def _beside(low: str) -> tuple[int, ...]:
     """Buckets of a word as a neighbour."""
     return tuple(_bucket(f"{at} {low}") for at in ("-1", "-2", "+1", "+2"))
@@ -58,13 +65,20 @@ def _beside(low: str) -> tuple[int, ...]:
 
 def features(words: list[str]) -> np.ndarray:
     """Buckets of each word's features: itself, its ends, its shape and its neighbours."""
+    n = len(words)
     low = ["<s>", "<s>", *[w.lower() for w in words], "</s>", "</s>"]
-    near, bias = [_beside(w) for w in low], _bucket("bias")
-    out = [
-        (*_own(w), near[k + 1][0], near[k][1], near[k + 3][2], near[k + 4][3], _bucket(f"b {low[k + 1]} {low[k + 2]}"), _bucket(f"c {low[k + 2]} {low[k + 3]}"), bias)
-        for k, w in enumerate(words)
-    ]
-    return np.array(out, dtype=np.int64).reshape(len(words), FEATURES)
+    raw = [w.encode("utf-8", "surrogatepass") for w in low[1:-1]]
+    pairs = [b" ".join(p) for p in zip(raw, raw[1:], strict=False)]
+    near = np.fromiter(chain.from_iterable(map(_beside, low)), dtype=np.int64, count=4 * len(low)).reshape(-1, 4)
+    out = np.empty((n, FEATURES), dtype=np.int64)
+    out[:, :4] = np.fromiter(chain.from_iterable(map(_own, words)), dtype=np.int64, count=4 * n).reshape(-1, 4)
+    for k, at in enumerate((1, 0, 3, 4)):
+        out[:, 4 + k] = near[at : at + n, k]
+    out[:, 8] = np.fromiter(map(zlib.crc32, pairs[:n], repeat(BEFORE)), dtype=np.int64, count=n)
+    out[:, 9] = np.fromiter(map(zlib.crc32, pairs[1:], repeat(AFTER)), dtype=np.int64, count=n)
+    out[:, 8:10] %= BUCKETS
+    out[:, 10] = BIAS
+    return out
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -199,12 +213,15 @@ def trained(train: DataFrame, val: DataFrame, class_weights: list[float] | None
     return out
 
 
-def in_window(words: list[str], tokenizer) -> int:
-    """How many words begin within the window of subwords."""
-    if len(words) > WINDOW:
-        words = words[:WINDOW]  # each has a subword at least
-    ids = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False).word_ids[: WINDOW - 2]
-    return max((k for k in ids if k is not None), default=-1) + 1
+def in_window(words: list[str], size: Callable[[str], int]) -> int:
+    """How many words begin within the window of subwords; ``size`` says how many a word has."""
+    n = at = 0
+    for k, word in enumerate(words[:WINDOW], 1):
+        if at >= WINDOW - 2:
+            break
+        if some := size(word):
+            n, at = k, at + some
+    return n
 
 
 def merged(text: str, spans: list[tuple[int, int]], tags: list[str], confidence: list[float]) -> list[Entity]:
@@ -231,12 +248,17 @@ def model(weights: np.ndarray, tokenizer_path: str, name: str) -> Model:
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
 
+        @lru_cache(maxsize=KNOWN)
+        def size(word: str) -> int:
+            # a word is cut by itself, whatever stands beside it
+            return len(tokenizer.encode([word], is_pretokenized=True, add_special_tokens=False).ids)
+
         def score(texts: list[str], attempt: int) -> list[list[Entity]]:
             found = []
             for text in texts:
-                spans = [m.span() for m in WORD.finditer(text)]
+                spans = [m.span() for m in islice(WORD.finditer(text), WINDOW)]  # each has a subword at least
                 words = [text[a:b] for a, b in spans]
-                n = in_window(words, tokenizer)
+                n = in_window(words, size)
                 p = softmax(small[features(words[:n])].sum(axis=1)) if n else np.zeros((0, TAGS))
                 found.append(merged(text, spans[:n], [C.TAGS[k] for k in p.argmax(axis=1)], p.max(axis=1).tolist()) if n else [])
             return found

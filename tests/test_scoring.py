@@ -1,6 +1,9 @@
 """Scorers on executors: retries against a plain loop, observed counters, the window of a tagger, training against a plain version."""
 
+import random
+
 import numpy as np
+import public_tokenizers
 import pytest
 
 from notesift.functions import constants as C
@@ -113,6 +116,31 @@ def test_merging_tags():
     assert tagger.merged(text, spans, ["I-DATE", "B-DATE", "B-DATE", "O"], [1, 0.5, 0.6, 1]) == [("b", "DATE", 2, 3, 0.5), ("c", "DATE", 4, 5, 0.6)]
 
 
+def test_windows_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = lambda w: len(made.encode([w], is_pretokenized=True, add_special_tokens=False).ids)
+    rng = random.Random(8)
+    texts = [[], ["x"] * 600, ["é😀漢字" * 50] * 9, ["a" * 3000], *[[rng.choice(["a", "of", "Zyloxantrine,", "12.5mg", "漢", "é-é"]) for _ in range(rng.randrange(700))] for _ in range(20)]]
+    for words in texts:
+        ids = made.encode(words, is_pretokenized=True, add_special_tokens=False).word_ids[: tagger.WINDOW - 2]
+        assert tagger.in_window(words, size) == max((k for k in ids if k is not None), default=-1) + 1
+    asked = []
+    tagger.in_window(["word"] * 100_000, lambda w: asked.append(w) or 1)
+    assert len(asked) == tagger.WINDOW - 2  # and not the words beyond the window
+
+
+def test_features_are_those_of_their_names():
+    words = ["Aspirin", "İx", "5mg", "aspirin"]
+    low = ["<s>", "<s>", *[w.lower() for w in words], "</s>", "</s>"]
+    for k, x in enumerate(tagger.features(words).tolist()):
+        b = tagger._bucket
+        near = [b(f"-1 {low[k + 1]}"), b(f"-2 {low[k]}"), b(f"+1 {low[k + 3]}"), b(f"+2 {low[k + 4]}")]
+        assert x[4:] == [*near, b(f"b {low[k + 1]} {low[k + 2]}"), b(f"c {low[k + 2]} {low[k + 3]}"), b("bias")]
+    assert tagger.features([]).shape == (0, tagger.FEATURES)
+
+
 def test_training_keeps_nothing_in_executors_memory(spark, monkeypatch):
     from notesift.plans import catalog
 
